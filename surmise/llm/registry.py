@@ -7,7 +7,8 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surmise.llm import url_filter, url_labels
+from surmise.llm import quality_rules, url_filter, url_labels
+from surmise.llm._shared import documents
 
 URL_RULES = (
     url_filter.Rule("com/en/", "block"),
@@ -28,9 +29,21 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_model(), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    emit = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = quality_rules.apply_rules(docs, emit=emit)
+    m = {name: F.col(name) for name in emit}
+    failed = quality_rules.BASE_RULES[0].reject(m) | quality_rules.BASE_RULES[1].reject(m)
+    return out.select("doc_id", *emit, failed.alias("base_failed"), "kept")
+
+
+QUERIES = (op1_url_filter, op5_quality_rules)
+
+
 def queries():
-    return {"op1_url_filter": op1_url_filter}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql():
-    return {"op1_url_filter": url_filter.judge_sql(url_model(), URL_RULES)}
+    return {"op1_url_filter": url_filter.judge_sql(url_model(), URL_RULES), "op5_quality_rules": quality_rules.ORACLE_SQL}
