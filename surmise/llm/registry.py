@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surmise.llm import quality_rules, url_filter, url_labels
+from surmise.llm import bpe, exact_dedup, ngram_join, packing, quality_rules, url_filter, url_labels
 from surmise.llm._shared import documents
 
 URL_RULES = (
@@ -29,6 +29,23 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_model(), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def byte_bpe_path() -> str:
+    """The default vocabulary file; every operator that tokenizes takes the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = byte_bpe_path()
+    out = bpe.decode(bpe.encode(documents(spark, sf_dir), path), path)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     emit = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -38,7 +55,17 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *emit, failed.alias("base_failed"), "kept")
 
 
-QUERIES = (op1_url_filter, op5_quality_rules)
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_dedup.dedup(documents(spark, sf_dir))
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(documents(spark, sf_dir), byte_bpe_path())
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = (op1_url_filter, op3_bpe, op4_ngram_join, op5_quality_rules, op8_exact_dedup, op10_packing)
 
 
 def queries():
@@ -46,4 +73,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_url_filter": url_filter.judge_sql(url_model(), URL_RULES), "op5_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op1_url_filter": url_filter.judge_sql(url_model(), URL_RULES), "op5_quality_rules": quality_rules.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
