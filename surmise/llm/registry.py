@@ -7,8 +7,8 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surmise.llm import bpe, exact_dedup, ngram_join, packing, quality_rules, url_filter, url_labels
-from surmise.llm._shared import documents
+from surmise.llm import bpe, exact_dedup, lang_id, ngram_join, packing, quality_fm, quality_rules, url_filter, url_labels
+from surmise.llm._shared import documents, id_remainder
 
 URL_RULES = (
     url_filter.Rule("com/en/", "block"),
@@ -29,6 +29,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_model(), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "n_chars")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    model = quality_fm.train(docs, labels, id_remainder("doc_id", 3) != 1)
+    out = quality_fm.score(docs, model)
+    return out.select("doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def byte_bpe_path() -> str:
     """The default vocabulary file; every operator that tokenizes takes the path as a parameter."""
     import public_tokenizers
@@ -55,6 +63,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *emit, failed.alias("base_failed"), "kept")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = lang_id.train(docs, id_remainder("doc_id", 4) != 2)
+    out = lang_id.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.dedup(documents(spark, sf_dir))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -65,7 +80,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = (op1_url_filter, op3_bpe, op4_ngram_join, op5_quality_rules, op8_exact_dedup, op10_packing)
+QUERIES = (op1_url_filter, op2_quality_classifier, op3_bpe, op4_ngram_join, op5_quality_rules, op7_language_id, op8_exact_dedup, op10_packing)
 
 
 def queries():
