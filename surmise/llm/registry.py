@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surmise.llm import bpe, exact_dedup, lang_id, ngram_join, packing, quality_fm, quality_rules, url_filter, url_labels
+from surmise.llm import bpe, chat, exact_dedup, lang_id, licenses, ngram_join, packing, quality_fm, quality_rules, url_filter, url_labels
 from surmise.llm._shared import documents, id_remainder
 
 URL_RULES = (
@@ -63,6 +63,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *emit, failed.alias("base_failed"), "kept")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    sums = licenses.summary(scanned)
+    return scanned.select("doc_id", "n_words", *(c.alias(name) for name, c in sums.items()))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = lang_id.train(docs, id_remainder("doc_id", 4) != 2)
@@ -75,12 +81,22 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    out = chat.read_back(chat.windows(turns.unionByName(own), byte_bpe_path()))
+    return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(documents(spark, sf_dir), byte_bpe_path())
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = (op1_url_filter, op2_quality_classifier, op3_bpe, op4_ngram_join, op5_quality_rules, op7_language_id, op8_exact_dedup, op10_packing)
+QUERIES = (op1_url_filter, op2_quality_classifier, op3_bpe, op4_ngram_join, op5_quality_rules, op6_license_scan, op7_language_id, op8_exact_dedup, op9_chat_format, op10_packing)
 
 
 def queries():
