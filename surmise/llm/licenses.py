@@ -1,10 +1,11 @@
 """License scans: phrases found word by word, and short notices found with a bounded number of errors.
 
 A text is lower-cased (A-Z) and reduced to its words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with single spaces.
-Phrases must stand there as consecutive words.  Notices may differ by up to ``ERROR_SHARE`` of their length:
-each is cut into one more seed than it may have errors, so every occurrence holds a seed unchanged
-(pigeonhole); one automaton finds all seeds, and around each hit the regex library's bounded-error
-matching verifies the notice and gives its span and its edits.
+Phrases must stand there as consecutive words.  Notices may differ by up to ``ERROR_SHARE`` of their length
+(1 to ``MAX_ERRORS`` edits):
+each is cut into two more seeds than it may have errors, so every occurrence holds two seeds unchanged
+(pigeonhole) whose distance is off by no more than the errors.  One automaton finds all seeds, and around
+such pairs the regex library's bounded-error matching verifies the notice and gives its span and its edits.
 
 Defined results: a null text counts as empty and has no words, spans or labels; very long texts are
 scanned whole; overlapping places all count; repeated rows and equal or null ids are scanned row by row;
@@ -31,7 +32,7 @@ NOTICES = {
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
     "licensed under the apache license version 2 0": "apache-2",
     "this work is licensed under the gnu general public license version 3": "gpl-3",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl",
+    "you can redistribute it and or modify it under the terms of the gnu general public license": "gpl",
     "under the terms of the gnu lesser general public license": "lgpl",
     "under the terms of the gnu affero general public license": "agpl",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
@@ -42,7 +43,7 @@ NOTICES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
     "permission to use copy modify and or distribute this software for any purpose with or without fee": "isc",
 }
-ERROR_SHARE, CONTEXT = 0.1, 200
+ERROR_SHARE, MAX_ERRORS, INTACT = 0.08, 5, 2
 
 _SEPARATORS = bytes(32 if c < 48 or 57 < c < 97 or 122 < c < 128 else c for c in range(256))
 
@@ -53,16 +54,17 @@ def normalised_words(text: str | None) -> list[bytes]:
 
 
 def seeds(notice: str, errors: int) -> list[tuple[int, str]]:
-    """``errors`` + 1 pieces of nearly equal length with their places."""
-    cuts = [len(notice) * k // (errors + 1) for k in range(errors + 2)]
+    """``errors`` + INTACT pieces of nearly equal length with their places."""
+    n = errors + INTACT
+    cuts = [len(notice) * k // n for k in range(n + 1)]
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 class Scanner:
     def __init__(self, phrases: Mapping[str, str], notices: Mapping[str, str], error_share: float):
         self.phrases = [(f" {p} ".encode(), label) for p, label in phrases.items()]
-        self.notices = [(n, label, max(1, int(len(n) * error_share))) for n, label in notices.items()]
-        self.patterns = [regex.compile(f"(?b)(?:{regex.escape(n, literal_spaces=True)}){{e<={k}}}") for n, _, k in self.notices]
+        self.notices = [(n, label, max(1, min(MAX_ERRORS, int(len(n) * error_share)))) for n, label in notices.items()]
+        self.patterns = [regex.compile(f"(?e)(?:{regex.escape(n, literal_spaces=True)}){{e<={k}}}") for n, _, k in self.notices]
         places: dict[str, list[tuple[int, int]]] = {}
         for i, (notice, _, k) in enumerate(self.notices):
             for at, seed in seeds(notice, k):
@@ -88,12 +90,23 @@ class Scanner:
 
     def windows(self, text: str) -> dict[int, list[list[int]]]:
         """Stretches of the text that may hold a notice, merged where they overlap."""
-        hits: dict[int, list[list[int]]] = {}
+        starts: dict[int, list[tuple[int, int]]] = {}
         for end, (size, where) in self.automaton.iter(text) if self.any_seed else ():
             for i, offset in where:
-                notice, _, k = self.notices[i]
-                low = max(0, end + 1 - size - offset - k)
-                hits.setdefault(i, []).append([low, min(len(text), low + len(notice) + 3 * k)])
+                starts.setdefault(i, []).append((end + 1 - size - offset, offset))
+        hits: dict[int, list[list[int]]] = {}
+        for i, seen in starts.items():
+            notice, _, k = self.notices[i]
+            seen.sort()
+            for j, (low, offset) in enumerate(seen):
+                # another seed of the notice, about where it should be
+                near = (seen[m] for m in range(j + 1, len(seen)))
+                for other, place in near:
+                    if other - low > k:
+                        break
+                    if place != offset:
+                        hits.setdefault(i, []).append([max(0, low - k), min(len(text), other + len(notice) + k)])
+                        break
         for found in hits.values():
             found.sort()
             merged = found[:1]
@@ -105,14 +118,24 @@ class Scanner:
             found[:] = merged
         return hits
 
+    def _inexact(self, i: int, text: str, low: int, high: int) -> list[tuple[int, int, str, int, int]]:
+        notice, label, k = self.notices[i]
+        if high - low < len(notice) - k:
+            return []
+        return [(m.start(), m.end(), label, sum(m.fuzzy_counts), len(notice)) for m in self.patterns[i].finditer(text, low, high)]
+
     def spans(self, text: str) -> list[tuple[int, int, str, int, int]]:
         """(start, end, label, edits, notice length) of every notice in a normalised text."""
         found = []
         for i, stretches in self.windows(text).items():
             notice, label, _ = self.notices[i]
             for low, high in stretches:
-                for m in self.patterns[i].finditer(text, low, high):
-                    found.append((m.start(), m.end(), label, sum(m.fuzzy_counts), len(notice)))
+                # unchanged notices need no error matching, only the rest of the stretch does
+                while (at := text.find(notice, low, high)) >= 0:
+                    found += self._inexact(i, text, low, at)
+                    found.append((at, at + len(notice), label, 0, len(notice)))
+                    low = at + len(notice)
+                found += self._inexact(i, text, low, high)
         return sorted(found)
 
 
