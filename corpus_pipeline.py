@@ -6,7 +6,7 @@ documents are written as Parquet and read again.  All stages but the last return
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surmise.llm import exact_dedup, lang_id, ngram_join, packing, quality_rules
@@ -25,22 +25,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lang_id.predict(docs, model).where(~F.col("rejected")).select(*docs.columns)
 
 
-def _kept_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is among ``keep`` (doc_id)."""
-    ids = keep.select(F.col("doc_id").alias("__id"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+def _kept_rows(docs: DataFrame, digest: Column, keep: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id and digest are among ``keep``; a row that is repeated stays once."""
+    keys = keep.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__key"))
+    found = docs.withColumn("__digest", digest)
+    found = found.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__key")), "left_semi")
+    return found.dropDuplicates(["doc_id", "__digest"]).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the one with the smallest doc_id."""
     kept = exact_dedup.dedup(docs.select("doc_id", "text")).where("kept")
-    return _kept_rows(docs, kept)
+    return _kept_rows(docs, exact_dedup.digest(exact_dedup.normalised(F.col("text"))), kept)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies, the document with the smallest doc_id."""
-    classes = ngram_join.classes(docs.select("doc_id", "text"))
-    return _kept_rows(docs, classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))))
+    classes = ngram_join.classes(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return _kept_rows(docs, ngram_join.digest(ngram_join.joined_words(F.col("text"))), classes)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
