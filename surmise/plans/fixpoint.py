@@ -8,15 +8,16 @@ lineage of a round never holds the rounds before it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from surmise.check import check_program, infer_types
 from surmise.operators.rules import derive
-from surmise.sources.facts import schema_of
+from surmise.sources.facts import schema_of, to_frame, types_of
 from surmise.sources.store import Store
-from surmise.terms import INTRINSIC, Literal, Rule
+from surmise.terms import INTRINSIC, Fact, Rule
 
 
 def strata(rules: Sequence[Rule]) -> list[list[str]]:
@@ -141,9 +142,14 @@ class Fixpoint:
             delta = added
 
 
-def evaluate(spark: SparkSession, rules: Sequence[Rule], given: Mapping[str, DataFrame], types: Mapping[str, Sequence[str]], wanted: Sequence[str] | None = None) -> dict[str, DataFrame]:
-    return Fixpoint(spark, rules, given, types).run(wanted)
-
-
-def literal(name: str, *args) -> Literal:
-    return Literal(name, args)
+def evaluate(spark: SparkSession, rules: Sequence[Rule], given: Mapping[str, DataFrame], types: Mapping[str, Sequence[str]] | None = None, wanted: Sequence[str] | None = None, facts: Iterable[Fact] = ()) -> dict[str, DataFrame]:
+    """All relations of a program without symbols, from given frames and facts; types are inferred if not given."""
+    facts = list(facts)
+    check_program(rules, facts)
+    known = {n: types_of(df) for n, df in given.items()} | dict(types or {})
+    known = infer_types(rules, facts, known)
+    frames = dict(given)
+    for name in dict.fromkeys(f.name for f in facts):
+        own = to_frame(spark, (f for f in facts if f.name == name), known[name])
+        frames[name] = frames[name].unionByName(own).distinct() if name in frames else own
+    return Fixpoint(spark, rules, frames, known).run(wanted)

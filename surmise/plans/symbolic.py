@@ -238,32 +238,43 @@ class SymbolicPlan:
             found.setdefault(n, self.spark.createDataFrame([], schema_of(self.meta_types[n])))
         return found
 
-    def matches(self, outputs: DataFrame, name: str, targets: Sequence[tuple[int, Fact]]) -> DataFrame:
-        """(target, v..., t...): outputs that a target unifies with, each symbol with one value only.
+    def matches(self, outputs: DataFrame, name: str, wanted: DataFrame) -> DataFrame:
+        """(target, v..., t...): outputs that a target (target, t...) unifies with, each symbol with one value only.
 
-        The targets are listed by the caller one by one, so their frame is broadcast.
+        Where no symbol reaches the relation this is an equi-join.
         """
         types = self.types[name]
-        ddl = "target int, " + ", ".join(f"t{i} {SPARK_TYPES[t].simpleString()}" for i, t in enumerate(types))
-        wanted = self.spark.createDataFrame([(n, *(a.value for a in f.args)) for n, f in targets], ddl)
         fits = F.lit(True)
         for i, t in enumerate(types):
             v, w = F.col(f"v{i}"), F.col(f"t{i}")
-            fits = fits & (is_sentinel(v, t) | (v == w))
+            open_here = any(self.symbols[self.number[s]].type == t for s in self.reach[name])
+            fits = fits & ((is_sentinel(v, t) | (v == w)) if open_here else v == w)
             for j in range(i):
-                if types[j] == t:
+                if types[j] == t and open_here:
                     fits = fits & ~(is_sentinel(v, t) & (v == F.col(f"v{j}")) & (w != F.col(f"t{j}")))
-        return outputs.join(F.broadcast(wanted), fits)
+        return outputs.join(wanted, fits)
+
+    def listed(self, targets: Sequence[Fact]) -> dict[str, DataFrame]:
+        """Frames of targets that a caller lists one by one; small by that, so they may be broadcast."""
+        out = {}
+        for name in sorted({f.name for f in targets}):
+            ddl = "target string, " + ", ".join(f"t{i} {SPARK_TYPES[t].simpleString()}" for i, t in enumerate(self.types[name]))
+            rows = [(str(f), *(a.value for a in f.args)) for f in targets if f.name == name]
+            out[name] = F.broadcast(self.spark.createDataFrame(rows, ddl))
+        return out
+
+    def ways(self, targets: Mapping[str, DataFrame], limit: int = MAX_SUPPORTS) -> DataFrame:
+        """(target, bindings, matched, support): one row for every minimal support of every match.
 
-    def ways(self, targets: Sequence[Fact], limit: int = MAX_SUPPORTS) -> DataFrame:
-        """(target int, bindings, matched, support): one row for every minimal support of every match."""
-        found = self.evaluate([f.name for f in targets])
-        names = sorted({f.name for f in targets})
+        ``targets``: for each relation of interest a frame (target, t0, t1, ...); target is any text.
+        """
+        names = sorted(targets)
+        found = self.evaluate(names)
         frames = []
         for name in names:
             columns = [F.col(f"v{i}") for i in range(len(self.meta_types[name]))]
             n = len(self.types[name])
-            hit = self.matches(found[name], name, [(k, f) for k, f in enumerate(targets) if f.name == name])
+            hit = self.matches(found[name], name, targets[name])
             key = tuple_key(name, columns)
             pairs = [F.struct(F.lit(s).alias("k"), c.cast("string").alias("v")) for s, c in zip(self.reach[name], columns[n:], strict=True)]
             bindings = F.array(*pairs).cast("array<struct<k: string, v: string>>")
@@ -340,10 +351,10 @@ def symex(spark: SparkSession, rules_or_program: Program | Sequence[Rule], facts
     for t in targets:
         if t.name not in plan.types or tuple(map(type_of, t.args)) != plan.types[t.name]:
             raise TypeError(f"{t} doesn't fit the relation {t.name}{plan.types.get(t.name, ' (unknown)')}")
-    out: dict[int, set[Condition]] = {}
-    for row in plan.ways(targets, limit).collect():
+    out: dict[str, set[Condition]] = {}
+    for row in plan.ways(plan.listed(targets), limit).collect() if targets else ():
         out.setdefault(row["target"], set()).add(plan.condition_of(row))
-    return {t: OutputCondition(tuple(sorted(out[k], key=lambda c: str(c.to_formula())))) for k, t in enumerate(targets) if k in out}
+    return {t: OutputCondition(tuple(sorted(out[str(t)], key=lambda c: str(c.to_formula())))) for t in targets if str(t) in out}
 
 
 def symex_frame(spark: SparkSession, *args, **kwargs) -> DataFrame:
