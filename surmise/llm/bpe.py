@@ -28,6 +28,7 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,7 +116,8 @@ class ByteBpe:
         return np.array(self.merge(piece.encode()), ID).tobytes()
 
     def _pieces(self, part: str) -> bytes:
-        return b"".join(map(self.piece.__getitem__, self.pattern.findall(part)))
+        found = self.pattern.findall(part)
+        return self._merged(found[0]) if len(found) == 1 else b"".join(map(self.piece.__getitem__, found))
 
     def _ordinary(self, text: str) -> bytes:
         first, *rest = text.split(" ")
@@ -140,10 +142,28 @@ class ByteBpe:
         return b"".join(map(self.strings.__getitem__, np.frombuffer(ids, ID).tolist())).decode("utf-8", "replace")
 
 
+class NativeBpe(ByteBpe):
+    """The same ids for operators that only need ids: parts not seen before go to a compiled library.
+
+    That library ranks merges by the id of what they make, so the vocabulary must be ordered by merges.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        first = self.merges[0][2] if self.merges else 0
+        if any(made != first + i for i, (_, _, made) in enumerate(self.merges)):
+            raise ValueError("the vocabulary's ids don't follow the order of its merges; use ByteBpe")
+        ranks = {string: i for i, string in self.strings.items() if i not in self.special.values()}
+        self.library = tiktoken.Encoding("from-file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _pieces(self, part: str) -> bytes:
+        return np.array(self.library.encode_ordinary(part), ID).tobytes()
+
+
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> ByteBpe:
+def tokenizer(path: str, kind: type[ByteBpe] = ByteBpe) -> ByteBpe:
     """One tokenizer a process, so that its tables last over batches and tasks."""
-    return ByteBpe(path)
+    return kind(path)
 
 
 def small_batches(rows: Iterable[tuple], schema: pa.Schema, weight: int) -> Iterator[pa.RecordBatch]:

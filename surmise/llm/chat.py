@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surmise.llm._shared import ship_code
-from surmise.llm.bpe import small_batches, tokenizer
+from surmise.llm.bpe import NativeBpe, small_batches, tokenizer
 
 BUDGET, HISTORY = 1024, 256
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -123,7 +123,7 @@ def windows(turns: DataFrame, path: str, budget: int = BUDGET, history: int = HI
     ship_code(turns.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path)
+        bpe = tokenizer(path, NativeBpe)
 
         def rows():
             conv, writer, begun = None, _Writer(budget, history), False

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surmise.llm._shared import ship_code, written
-from surmise.llm.bpe import ID, small_batches, tokenizer
+from surmise.llm.bpe import ID, NativeBpe, small_batches, tokenizer
 
 WINDOW, END_ID = 2048, 1
 
@@ -35,7 +35,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID, text: str = "tex
     end = np.array([end_id], ID).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, part = tokenizer(path), TaskContext.get().partitionId()
+        bpe, part = tokenizer(path, NativeBpe), TaskContext.get().partitionId()
 
         def rows():
             before = 0
