@@ -22,10 +22,12 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surmise.llm._shared import drop_table, new_path, written
+from surmise.llm._shared import drop_table, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 MEMTABLE_ROWS = 1_000_000
@@ -88,7 +90,7 @@ class LsmIndex:
 
 
 def verified_classes(docs: DataFrame, index: DataFrame) -> DataFrame:
-    """(digest, salted text check, keep_id, copies) of every hit, grouped by the texts' own bytes.
+    """(digest, text, keep_id, copies) of every hit, grouped by the texts' own bytes.
 
     ``docs``: (doc_id, text, digest).  A digest that turns out to hold several texts gives several rows.
     """
@@ -98,16 +100,17 @@ def verified_classes(docs: DataFrame, index: DataFrame) -> DataFrame:
     return found.groupBy("digest", "text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("copies"))
 
 
-def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", memtable_rows: int = MEMTABLE_ROWS, digest_of: Callable[[Column], Column] = digest) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, digest) for every row of ``docs``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), normalised(F.col(text)).alias("text"))
-    digests = written(rows.select("doc_id", digest(F.col("text")).alias("digest")), "digests", new_path(spark, "digests"))
+    rows = rows.withColumn("digest", digest_of(F.col("text")))
+    digests = written(rows.select("doc_id", "digest"), "digests")
     index = LsmIndex(spark, memtable_rows)
     index.flush(digests, digests.count())
     level = index.compact()
 
-    classes = verified_classes(rows.withColumn("digest", digest(F.col("text"))), level)
+    classes = verified_classes(rows, level)
     split = classes.groupBy("digest").agg(F.count("*").alias("texts"), F.min("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
     split = written(split, "verified")
     whole = digests.join(level.select("digest", "keep_id", "copies"), "digest")
@@ -116,7 +119,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", memtable_
         out = whole
     else:
         # two texts under one digest: these few rows get the answer of their own bytes
-        apart = rows.withColumn("digest", digest(F.col("text"))).join(clashing, "digest")
+        apart = rows.join(clashing, "digest")
         own = apart.join(classes.select("digest", "text", "keep_id", "copies"), ["digest", "text"]).select("digest", "doc_id", "keep_id", "copies")
         out = whole.join(clashing, "digest", "left_anti").select("digest", "doc_id", "keep_id", "copies").unionByName(own)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
