@@ -1 +1 @@
-
+"""Continuing a finished evaluation with new input tuples."""
