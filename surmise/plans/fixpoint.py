@@ -71,6 +71,7 @@ class Fixpoint:
         self.relations: dict[str, DataFrame] = dict(given)
         self.rounds = 0
         self.store = Store(spark)
+        self.stored: set[str] = set()
 
     def empty(self, name: str) -> DataFrame:
         return self.spark.createDataFrame([], schema_of(self.types[name]))
@@ -111,6 +112,11 @@ class Fixpoint:
 
     def _iterate(self, part: Sequence[str], rules: Sequence[Rule], recursive: Sequence[Rule]) -> None:
         plain = [r for r in rules if r not in recursive]
+        # every round reads these: computed once, not once a round
+        for name in dict.fromkeys(x.name for r in recursive for x in r.body if x.name not in part and x.name not in INTRINSIC):
+            if name not in self.stored:
+                _, self.relations[name] = self.store.write(self._read(name), name)
+                self.stored.add(name)
         paths: dict[str, list[str]] = {}
         delta: dict[str, DataFrame] = {}
         base = {name: self._base(name, plain) for name in part}
@@ -118,6 +124,7 @@ class Fixpoint:
             path, delta[name] = self.store.write(df, name)
             paths[name] = [path]
             self.relations[name] = delta[name]
+            self.stored.add(name)
         while delta:
             self.rounds += 1
             added = {}

@@ -228,6 +228,9 @@ class SymbolicPlan:
                 columns.append(c.alias(f"v{i}"))
             columns += [F.col(f"b{k}").alias(f"v{len(types) + k}") for k in range(len(self.reach[name]))]
             out[name] = df.select(*columns, "fid", "sign", "used")
+            if name in self.relations:
+                # evaluation, derivations and leaves all read it
+                _, out[name] = self.store.write(out[name], f"input-{name}")
         return out
 
     def evaluate(self, wanted: Sequence[str]) -> dict[str, DataFrame]:
