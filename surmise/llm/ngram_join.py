@@ -4,10 +4,11 @@ Band and row counts follow from the similarity, the target recall and a bound on
 Texts are the unit: rows with equal words (white space aside) are copies of one text, known by a digest of
 those words, and are never paired.  Bands shuffle as (band hash, digest).
 
-In each band bucket every text is verified against the bucket's smallest digest only, so a bucket of any
-size gives as many pairs as it has texts.  Verified links make components.  Texts of one bucket that are
-then still in different components are verified against each other, so no link between different
-components is lost; texts that are in one component already need no more pairs.
+In each band bucket every text is verified against one leader only (the text that meets most others over
+all bands), so a bucket of any size gives as many pairs as it has texts.  Verified links make components.  Texts of one bucket that are
+then still in different components are verified against each other unless their counts against the leader
+show that they can't be similar, so no link between different components is lost; texts that are in one
+component already need no more pairs.
 
 Result: one row per document with ``class_id`` (the smallest doc_id of its component), ``n_links`` (verified
 links of its text, plus the other copies of its text) and ``digest``.
@@ -126,28 +127,37 @@ def ngram_set(text: bytes, n: int) -> frozenset[bytes]:
     return frozenset(b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
 
 
-def similar(x: frozenset, y: frozenset, least: Fraction) -> bool:
-    both = len(x & y)
-    return both * least.denominator >= least.numerator * (len(x) + len(y) - both) and both > 0
+def compared(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(a, b, both, na, nb, gone) of each pair: sizes of the n-gram sets and of what they share.
 
-
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float, n: int) -> DataFrame:
-    """The pairs (a, b) whose n-gram sets are similar enough.  ``texts``: (digest, words), one row a digest."""
-    least = Fraction(str(similarity))
+    ``gone`` is a bit set of b's n-grams, in order, that a lacks.  ``texts``: (digest, words), one row a digest.
+    """
+    types = {"a": pa.binary(), "b": pa.binary(), "both": pa.int64(), "na": pa.int64(), "nb": pa.int64(), "gone": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, grams = None, frozenset()
+        last, grams, place = None, frozenset(), {}
         for batch in batches:
-            keep = []
-            for _, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows = []
+            for b, ta, tb in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 if b != last:
                     last, grams = b, ngram_set(tb, n)
-                keep.append(similar(ngram_set(ta, n), grams, least))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                    place = {g: i for i, g in enumerate(sorted(grams))}
+                own = ngram_set(ta, n)
+                bits = np.zeros(-(-len(grams) // 64) * 64, np.uint8)
+                bits[[place[g] for g in grams - own]] = 1
+                rows.append((len(own & grams), len(own), len(grams), np.packbits(bits).view(np.int64)))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, list(types.values())[2:], strict=True))], names=list(types))
 
     left = texts.select(F.col("digest").alias("a"), F.col("words").cast("binary").alias("ta"))
     right = texts.select(F.col("digest").alias("b"), F.col("words").cast("binary").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, both long, na long, nb long, gone array<long>")
+
+
+def enough(both: Column, na: Column, nb: Column, similarity: float) -> Column:
+    """Whether ``both`` shared n-grams make sets of these sizes similar, in whole numbers."""
+    least = Fraction(str(similarity))
+    return (both > 0) & (both * least.denominator >= least.numerator * (na + nb - both))
 
 
 def links(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, recall: float = RECALL, max_hashes: int = MAX_HASHES, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -163,26 +173,37 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, recal
     signed = written(signatures(all_rows, bands, rows, n).where("n_grams > 0").groupBy("digest").agg(F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")), "signatures")
 
     banded = signed.select("digest", "n_grams", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("digest").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("k"), "first")
-    buckets = written(banded.join(shared, F.col("band") == F.col("k")).select("band", "digest", "n_grams", "first"), "buckets")
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("k"), "n")
+    met = written(banded.join(shared, F.col("band") == F.col("k")).select("band", "digest", "n_grams", "n"), "buckets")
     drop_table(spark, signed)
+    # the text that meets most others over all its bands: of copies of one text, likely the text itself
+    known_by = met.groupBy("digest").agg(F.sum("n").alias("met")).select(F.col("digest").alias("d"), "met")
+    lead = met.join(known_by, F.col("digest") == F.col("d")).groupBy("band").agg(F.max(F.struct("met", "digest")).alias("m")).select(F.col("band").alias("k"), F.col("m.digest").alias("first"))
+    buckets = written(met.join(lead, F.col("band") == F.col("k")).select("band", "digest", "n_grams", "first"), "buckets")
+    drop_table(spark, met)
     # each text is fetched once, from the copy with the smallest id, so a hot text moves as one row
     want = buckets.select("digest").distinct().join(one, "digest").select(known("doc_id").alias("rep"), F.col("digest").alias("d"))
     texts = all_rows.join(want, (known("doc_id") == F.col("rep")) & (F.col("digest") == F.col("d")), "left_semi")
     texts = written(texts.dropDuplicates(["digest"]).select("digest", "words"), "texts")
 
-    found = written(verified(buckets.where("digest != first").select(F.col("digest").alias("a"), F.col("first").alias("b")).distinct(), texts, similarity, n), "links")
+    led = written(compared(buckets.where("digest != first").select(F.col("digest").alias("a"), F.col("first").alias("b")).distinct(), texts, n), "led")
+    similar = enough(F.col("both"), F.col("na"), F.col("nb"), similarity)
+    found = written(led.where(similar).select("a", "b"), "links")
     roots = components(found)
 
-    placed = buckets.join(roots, F.col("digest") == F.col("node"), "left").select("band", "digest", "n_grams", "first", F.coalesce("root", "digest").alias("root"))
+    placed = buckets.where("digest != first").join(roots, F.col("digest") == F.col("node"), "left").select("band", "digest", "first", F.coalesce("root", "digest").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select(F.col("band").alias("k"))
-    rest = written(placed.join(mixed, F.col("band") == F.col("k")).select("band", "digest", "n_grams", "first", "root"), "mixed")
-    other = rest.select(F.col("band").alias("k"), F.col("digest").alias("b"), F.col("n_grams").alias("nb"), F.col("root").alias("other"))
-    # sizes too far apart can't be similar; pairs with the bucket's first text have been verified before
-    near = (F.least("n_grams", "nb") >= similarity * F.greatest("n_grams", "nb") - 1e-6) & (F.col("root") != F.col("other"))
-    pairs = rest.where("digest != first").withColumnRenamed("digest", "a").join(other, (F.col("band") == F.col("k")) & (F.col("a") < F.col("b")) & near).where("b != first").select("a", "b").distinct()
-    more = written(verified(pairs, texts, similarity, n), "links")
-    for table in (rest, buckets, texts):
+    placed = placed.join(mixed, F.col("band") == F.col("k")).select("band", "digest", "first", "root")
+    rest = placed.join(led, (F.col("digest") == F.col("a")) & (F.col("first") == F.col("b"))).select("band", "digest", "root", "na", F.col("nb").alias("size"), (F.col("na") - F.col("both")).alias("own"), "gone")
+    rest = written(rest, "mixed")
+    other = rest.select(F.col("band").alias("k"), F.col("digest").alias("b"), F.col("root").alias("other"), F.col("na").alias("nb"), F.col("own").alias("own_b"), F.col("gone").alias("gone_b"))
+    # two texts share what both share with their leader, and at most all that one of them has besides
+    lost = F.aggregate(F.zip_with("gone", "gone_b", lambda x, y: F.bit_count(x.bitwiseOR(y))), F.lit(0), lambda s, x: s + x)
+    most = F.col("size") - lost + F.least("own", "own_b")
+    open_pair = (F.col("root") != F.col("other")) & (F.col("a") < F.col("b")) & enough(F.least("na", "nb"), F.col("na"), F.col("nb"), similarity) & enough(most, F.col("na"), F.col("nb"), similarity)
+    pairs = rest.withColumnRenamed("digest", "a").join(other, (F.col("band") == F.col("k")) & open_pair).select("a", "b").distinct()
+    more = written(compared(pairs, texts, n).where(similar).select("a", "b"), "links")
+    for table in (rest, buckets, texts, led):
         drop_table(spark, table)
     return members, found.unionByName(more)
 
