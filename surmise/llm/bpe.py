@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from surmise.llm._shared import ship_code
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-TABLE_ENTRIES, TABLE_CHARS = 400_000, 48
+TABLE_ENTRIES, TABLE_CHARS = 300_000, 48
 #: A batch is passed on once it holds so many bytes.
 BATCH_BYTES = 8_000_000
 ID = np.dtype("<u4")
@@ -80,9 +80,8 @@ class ByteBpe:
         self.symbol = [0] * 256
         for letter, b in byte.items():
             self.symbol[b] = vocab[letter]
-        self.strings: dict[int, bytes] = {i: bytes(byte[c] for c in s) for s, i in vocab.items() if all(c in byte for c in s)}
+        self.strings = vocabulary_strings(path)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings |= {i: s.encode() for s, i in self.special.items()}
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.pattern = regex.compile(PATTERN)
         self.after_space, self.at_start, self.piece = _Table(self._pieces, " "), _Table(self._pieces, ""), _Table(self._merged, "")
@@ -139,7 +138,7 @@ class ByteBpe:
         return b"".join([*out, self._ordinary(text[at:]) if at < len(text) else b""])
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.strings.__getitem__, np.frombuffer(ids, ID).tolist())).decode("utf-8", "replace")
+        return joined(ids, self.strings)
 
 
 class NativeBpe(ByteBpe):
@@ -166,6 +165,28 @@ def tokenizer(path: str, kind: type[ByteBpe] = ByteBpe) -> ByteBpe:
     return kind(path)
 
 
+@lru_cache(maxsize=2)
+def vocabulary_strings(path: str) -> dict[int, bytes]:
+    """id -> bytes, all that decoding needs."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    byte = byte_letters()
+    strings = {i: bytes(byte[c] for c in s) for s, i in spec["model"]["vocab"].items() if all(c in byte for c in s)}
+    return strings | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+
+
+def joined(ids: bytes, strings: dict[int, bytes]) -> str:
+    """The text of little-endian 32-bit ids; bytes that aren't UTF-8 become replacement characters."""
+    return b"".join(map(strings.__getitem__, np.frombuffer(ids, ID).tolist())).decode("utf-8", "replace")
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that only some rows at a time become Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def small_batches(rows: Iterable[tuple], schema: pa.Schema, weight: int) -> Iterator[pa.RecordBatch]:
     """Record batches of ``rows``, each ended once the values in column ``weight`` reach BATCH_BYTES."""
     held: list[tuple] = []
@@ -186,7 +207,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
-        rows = ((k, len(ids) // 4, ids) for b in batches for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for ids in [bpe.encode(t)])
+        rows = ((k, len(ids) // 4, ids) for b in sliced(batches) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for ids in [bpe.encode(t)])
         return small_batches(rows, schema, 2)
 
     ship_code(docs.sparkSession)
@@ -198,9 +219,9 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", keep: tuple[str,
     """(key, *keep, text) of a frame with the column ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(path)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([bpe.decode(x or b"") for x in b.columns[-1].to_pylist()], pa.string())], names=[*b.schema.names[:-1], "text"])
+        strings = vocabulary_strings(path)
+        for b in sliced(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([joined(x or b"", strings) for x in b.columns[-1].to_pylist()], pa.string())], names=[*b.schema.names[:-1], "text"])
 
     ship_code(encoded.sparkSession)
     types = dict(encoded.dtypes)

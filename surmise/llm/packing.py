@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surmise.llm._shared import ship_code, written
-from surmise.llm.bpe import ID, NativeBpe, small_batches, tokenizer
+from surmise.llm.bpe import ID, NativeBpe, sliced, small_batches, tokenizer
 
 WINDOW, END_ID = 2048, 1
 
@@ -39,7 +39,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID, text: str = "tex
 
         def rows():
             before = 0
-            for b in batches:
+            for b in sliced(batches):
                 for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     ids = bpe.encode(t) + end
                     n = len(ids) // ID.itemsize
@@ -67,7 +67,7 @@ def pieces(placed: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for b in batches:
+            for b in sliced(batches):
                 for key, at, n, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     start = 0
                     while start < n:
