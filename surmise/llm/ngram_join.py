@@ -5,10 +5,10 @@ Texts are the unit: rows with equal words (white space aside) are copies of one
 those words, and are never paired.  Bands shuffle as (band hash, digest).
 
 In each band bucket every text is verified against one leader only (the text that meets most others over
-all bands), so a bucket of any size gives as many pairs as it has texts.  Verified links make components.  Texts of one bucket that are
-then still in different components are verified against each other unless their counts against the leader
-show that they can't be similar, so no link between different components is lost; texts that are in one
-component already need no more pairs.
+all bands), so a bucket of any size gives as many pairs as it has texts.  Verified links make components.
+Texts of one bucket that are then still in different components are verified against each other, unless what
+each shares with the leader and has besides shows that they can't be similar (an exact bound): no link
+between different components is lost, and texts in one component already need no more pairs.
 
 Result: one row per document with ``class_id`` (the smallest doc_id of its component), ``n_links`` (verified
 links of its text, plus the other copies of its text) and ``digest``.
@@ -36,7 +36,7 @@ from surmise.llm.components import components
 
 WORDS, SIMILARITY, RECALL, MAX_HASHES = 5, 0.8, 0.995, 192
 SPACE = r"[\x20\x09-\x0D]+"
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES, OWN_BITS = 400_000, 1024
 
 
 def band_counts(similarity: float = SIMILARITY, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -128,11 +128,12 @@ def ngram_set(text: bytes, n: int) -> frozenset[bytes]:
 
 
 def compared(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """(a, b, both, na, nb, gone) of each pair: sizes of the n-gram sets and of what they share.
+    """(a, b, both, na, nb, gone, more) of each pair: sizes of the n-gram sets and of what they share.
 
-    ``gone`` is a bit set of b's n-grams, in order, that a lacks.  ``texts``: (digest, words), one row a digest.
+    ``gone`` is a bit set of b's n-grams, in order, that a lacks; ``more`` one of the hashes (of OWN_BITS) of
+    a's n-grams that b lacks.  ``texts``: (digest, words), one row a digest.
     """
-    types = {"a": pa.binary(), "b": pa.binary(), "both": pa.int64(), "na": pa.int64(), "nb": pa.int64(), "gone": pa.list_(pa.int64())}
+    types = {"a": pa.binary(), "b": pa.binary(), "both": pa.int64(), "na": pa.int64(), "nb": pa.int64(), "gone": pa.list_(pa.int64()), "more": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, grams, place = None, frozenset(), {}
@@ -143,15 +144,16 @@ def compared(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
                     last, grams = b, ngram_set(tb, n)
                     place = {g: i for i, g in enumerate(sorted(grams))}
                 own = ngram_set(ta, n)
-                bits = np.zeros(-(-len(grams) // 64) * 64, np.uint8)
+                bits, extra = np.zeros(-(-len(grams) // 64) * 64, np.uint8), np.zeros(OWN_BITS, np.uint8)
                 bits[[place[g] for g in grams - own]] = 1
-                rows.append((len(own & grams), len(own), len(grams), np.packbits(bits).view(np.int64)))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+                extra[[xxhash.xxh3_64_intdigest(g) % OWN_BITS for g in own - grams]] = 1
+                rows.append((len(own & grams), len(own), len(grams), np.packbits(bits).view(np.int64), np.packbits(extra).view(np.int64)))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, list(types.values())[2:], strict=True))], names=list(types))
 
     left = texts.select(F.col("digest").alias("a"), F.col("words").cast("binary").alias("ta"))
     right = texts.select(F.col("digest").alias("b"), F.col("words").cast("binary").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, both long, na long, nb long, gone array<long>")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, both long, na long, nb long, gone array<long>, more array<long>")
 
 
 def enough(both: Column, na: Column, nb: Column, similarity: float) -> Column:
@@ -160,6 +162,11 @@ def enough(both: Column, na: Column, nb: Column, similarity: float) -> Column:
     return (both > 0) & (both * least.denominator >= least.numerator * (na + nb - both))
 
 
+def bits(longs: Column) -> Column:
+    """How many bits are set in an array of longs."""
+    return F.aggregate(longs, F.lit(0), lambda s, x: s + F.bit_count(x))
+
+
 def links(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, recall: float = RECALL, max_hashes: int = MAX_HASHES, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(membership, links): (doc_id, digest) of every row, and verified links (a, b) between digests."""
     spark = docs.sparkSession
@@ -194,12 +201,14 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, recal
     placed = buckets.where("digest != first").join(roots, F.col("digest") == F.col("node"), "left").select("band", "digest", "first", F.coalesce("root", "digest").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select(F.col("band").alias("k"))
     placed = placed.join(mixed, F.col("band") == F.col("k")).select("band", "digest", "first", "root")
-    rest = placed.join(led, (F.col("digest") == F.col("a")) & (F.col("first") == F.col("b"))).select("band", "digest", "root", "na", F.col("nb").alias("size"), (F.col("na") - F.col("both")).alias("own"), "gone")
+    rest = placed.join(led, (F.col("digest") == F.col("a")) & (F.col("first") == F.col("b"))).select("band", "digest", "root", "na", F.col("nb").alias("size"), (F.col("na") - F.col("both")).alias("own"), "gone", "more", (F.col("na") - F.col("both") - bits(F.col("more"))).alias("spare"))
     rest = written(rest, "mixed")
-    other = rest.select(F.col("band").alias("k"), F.col("digest").alias("b"), F.col("root").alias("other"), F.col("na").alias("nb"), F.col("own").alias("own_b"), F.col("gone").alias("gone_b"))
-    # two texts share what both share with their leader, and at most all that one of them has besides
-    lost = F.aggregate(F.zip_with("gone", "gone_b", lambda x, y: F.bit_count(x.bitwiseOR(y))), F.lit(0), lambda s, x: s + x)
-    most = F.col("size") - lost + F.least("own", "own_b")
+    other = rest.select(F.col("band").alias("k"), F.col("digest").alias("b"), F.col("root").alias("other"), F.col("na").alias("nb"), F.col("own").alias("own_b"), F.col("gone").alias("gone_b"), F.col("more").alias("more_b"), F.col("spare").alias("spare_b"))
+    # two texts share what both share with their leader; of their other n-grams they share at most those whose
+    # hashes meet, plus as many as hashes of one text's own n-grams fall together
+    lost = bits(F.zip_with("gone", "gone_b", lambda x, y: x.bitwiseOR(y)))
+    met_too = bits(F.zip_with("more", "more_b", lambda x, y: x.bitwiseAND(y)))
+    most = F.col("size") - lost + F.least(F.col("own"), F.col("own_b"), met_too + F.least("spare", "spare_b"))
     open_pair = (F.col("root") != F.col("other")) & (F.col("a") < F.col("b")) & enough(F.least("na", "nb"), F.col("na"), F.col("nb"), similarity) & enough(most, F.col("na"), F.col("nb"), similarity)
     pairs = rest.withColumnRenamed("digest", "a").join(other, (F.col("band") == F.col("k")) & open_pair).select("a", "b").distinct()
     more = written(compared(pairs, texts, n).where(similar).select("a", "b"), "links")
