@@ -4,14 +4,15 @@ Band and row counts follow from the similarity, the target recall and a bound on
 Texts are the unit: rows with equal words (white space aside) are copies of one text, known by a digest of
 those words, and are never paired.  Bands shuffle as (band hash, digest).
 
-In each band bucket every text is verified against one leader only (the text that meets most others over
-all bands), so a bucket of any size gives as many pairs as it has texts.  Verified links make components.
-Texts of one bucket that are then still in different components are verified against each other, unless what
-each shares with the leader and has besides shows that they can't be similar (an exact bound): no link
-between different components is lost, and texts in one component already need no more pairs.
+In each band bucket every text is first verified against one leader (the text that meets most others over
+all bands), which also gives the n-grams that only one of the two has.  Any two texts that met one leader are
+then compared by these differences, which decide exactly as the full sets do: both lack what either lacks of
+the leader, and share of their other n-grams what their differences share (differences are kept as 64-bit
+hashes).  The texts of a leader are dealt in blocks of about ``BLOCK``, and two blocks at a time are compared
+within a task, so no row is made per pair; the work still grows with the square of a group of near copies.
 
-Result: one row per document with ``class_id`` (the smallest doc_id of its component), ``n_links`` (verified
-links of its text, plus the other copies of its text) and ``digest``.
+Result: one row per document with ``class_id`` (the smallest doc_id of its component), ``n_links`` (all other
+documents that are similar to it: rows of similar texts, and the other copies of its text) and ``digest``.
 
 Defined results: null and empty texts, and texts without a word, are copies of each other and link to
 nothing else; a text of fewer than n words has one n-gram, all its words; very long texts take part with
@@ -36,7 +37,7 @@ from surmise.llm.components import components
 
 WORDS, SIMILARITY, RECALL, MAX_HASHES = 5, 0.8, 0.995, 192
 SPACE = r"[\x20\x09-\x0D]+"
-TABLE_ENTRIES, OWN_BITS = 400_000, 1024
+TABLE_ENTRIES, BLOCK, COLUMNS = 400_000, 256, 4096
 
 
 def band_counts(similarity: float = SIMILARITY, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -128,32 +129,28 @@ def ngram_set(text: bytes, n: int) -> frozenset[bytes]:
 
 
 def compared(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """(a, b, both, na, nb, gone, more) of each pair: sizes of the n-gram sets and of what they share.
+    """(a, b, both, na, nb, apart) of each pair: sizes of the n-gram sets and of what they share.
 
-    ``gone`` is a bit set of b's n-grams, in order, that a lacks; ``more`` one of the hashes (of OWN_BITS) of
-    a's n-grams that b lacks.  ``texts``: (digest, words), one row a digest.
+    ``apart``: hashes of the n-grams that only one of the two has.  ``texts``: (digest, words), one row a digest.
     """
-    types = {"a": pa.binary(), "b": pa.binary(), "both": pa.int64(), "na": pa.int64(), "nb": pa.int64(), "gone": pa.list_(pa.int64()), "more": pa.list_(pa.int64())}
+    types = {"a": pa.binary(), "b": pa.binary(), "both": pa.int64(), "na": pa.int64(), "nb": pa.int64(), "apart": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, grams, place = None, frozenset(), {}
+        last, grams = None, frozenset()
         for batch in batches:
             rows = []
             for b, ta, tb in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 if b != last:
                     last, grams = b, ngram_set(tb, n)
-                    place = {g: i for i, g in enumerate(sorted(grams))}
                 own = ngram_set(ta, n)
-                bits, extra = np.zeros(-(-len(grams) // 64) * 64, np.uint8), np.zeros(OWN_BITS, np.uint8)
-                bits[[place[g] for g in grams - own]] = 1
-                extra[[xxhash.xxh3_64_intdigest(g) % OWN_BITS for g in own - grams]] = 1
-                rows.append((len(own & grams), len(own), len(grams), np.packbits(bits).view(np.int64), np.packbits(extra).view(np.int64)))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+                apart = own ^ grams
+                rows.append((len(own & grams), len(own), len(grams), np.fromiter(map(xxhash.xxh3_64_intdigest, apart), np.uint64, len(apart)).view(np.int64)))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, list(types.values())[2:], strict=True))], names=list(types))
 
     left = texts.select(F.col("digest").alias("a"), F.col("words").cast("binary").alias("ta"))
     right = texts.select(F.col("digest").alias("b"), F.col("words").cast("binary").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, both long, na long, nb long, gone array<long>, more array<long>")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, both long, na long, nb long, apart array<long>")
 
 
 def enough(both: Column, na: Column, nb: Column, similarity: float) -> Column:
@@ -162,13 +159,99 @@ def enough(both: Column, na: Column, nb: Column, similarity: float) -> Column:
     return (both > 0) & (both * least.denominator >= least.numerator * (na + nb - both))
 
 
-def bits(longs: Column) -> Column:
-    """How many bits are set in an array of longs."""
-    return F.aggregate(longs, F.lit(0), lambda s, x: s + F.bit_count(x))
+def shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two of the sets have in common."""
+    out = np.zeros((len(sets), len(sets)))
+    _, member, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = times > 1  # others are in one set only
+    owner, keep = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), common[member]
+    owner, member = owner[keep], (np.cumsum(common) - 1)[member[keep]]
+    order = np.argsort(member, kind="stable")
+    owner, member = owner[order], member[order]
+    total = int(common.sum())
+    for at in range(0, total, COLUMNS):  # bounded memory for many members
+        low, high = np.searchsorted(member, [at, at + COLUMNS])
+        x = np.zeros((len(sets), min(COLUMNS, total - at)), np.float32)
+        x[owner[low:high], member[low:high] - at] = 1
+        out += x @ x.T
+    return out.astype(np.int64)
+
+
+def similar_in(rows: list[dict], similarity: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Of texts that met one leader: for each, the rows of similar texts; and pairs that join the components (``root``).
+
+    Texts of one block are compared with those of the other, or with each other if there is one block only.
+    A pair counts under the smallest leader that both met.
+    """
+    least = Fraction(str(similarity))
+    column = lambda name: np.array([r[name] for r in rows])
+    n, lost, block = column("n"), column("lost"), column("block")
+    both = rows[0]["size"] - lost[:, None] - lost + shared([r["apart"] for r in rows])
+    found = (both > 0) & (both * least.denominator >= least.numerator * (n[:, None] + n - both))
+    found &= (block[:, None] != block) if rows[0]["i"] != rows[0]["j"] else ~np.eye(len(rows), dtype=bool)
+
+    number: dict[bytes, int] = {}
+    before = [np.array([number.setdefault(x, len(number)) for x in r["leaders"] if x < r["leader"]], np.int64) for r in rows]
+    weights = (found & (shared(before) == 0)) @ column("copies")
+
+    _, root = np.unique(np.array([r["root"].hex() for r in rows]), return_inverse=True)
+    above, joins = list(range(len(rows))), []
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            x = above[x]
+        return x
+
+    at = np.argwhere(found & (root[:, None] < root))
+    _, first = np.unique(root[at[:, 0]] * len(rows) + root[at[:, 1]], return_index=True)
+    for a, b in at[first].tolist():
+        x, y = top(int(root[a])), top(int(root[b]))
+        if x != y:
+            above[x] = y
+            joins.append((a, b))
+    return weights, joins
+
+
+def counted(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, weight): for each text and block, the ``weight`` of similar texts (b null), and links between components.
+
+    ``rows``: (leader, digest, size, n, lost, apart, leaders, copies, root, blocks), one for each leader of a text.
+    """
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("weight", pa.int64())])
+    names = ("leader", "i", "j", "block", "digest", "size", "n", "lost", "leaders", "copies", "root")
 
+    def judged(held: list[dict]) -> Iterator[tuple]:
+        if len(held) > 1:
+            weights, joins = similar_in(held, similarity)
+            yield from ((held[k]["digest"], None, int(w)) for k, w in enumerate(weights) if w)
+            yield from ((held[a]["digest"], held[b]["digest"], 0) for a, b in joins)
 
-def links(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, recall: float = RECALL, max_hashes: int = MAX_HASHES, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(membership, links): (doc_id, digest) of every row, and verified links (a, b) between digests."""
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), schema.types, strict=True)] if found else [pa.array([], t) for t in schema.types], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            found, columns = [], [c.to_pylist() for c in batch.columns[:-1]]
+            apart = batch.columns[-1]
+            values, ends = apart.values.to_numpy(), apart.offsets.to_numpy()
+            for k, r in enumerate(zip(*columns, strict=True)):
+                if r[:3] != key:
+                    found += judged(held)
+                    key, held = r[:3], []
+                held.append(dict(zip(names, r, strict=True)) | {"apart": values[ends[k] : ends[k + 1]].copy()})
+            yield batch_of(found)
+        yield batch_of(list(judged(held)))
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).select(*names, "apart")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, "leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(run, "a binary, b binary, weight long")
+
+
+def links(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, recall: float = RECALL, max_hashes: int = MAX_HASHES, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(membership, links, degrees): (doc_id, digest) of every row, verified links (a, b) between digests that
+    make the components, and (a, links) with the rows of all texts that are similar to a."""
     spark = docs.sparkSession
     ship_code(spark)
     bands, rows = band_counts(similarity, recall, max_hashes)
@@ -198,30 +281,23 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, recal
     found = written(led.where(similar).select("a", "b"), "links")
     roots = components(found)
 
-    placed = buckets.where("digest != first").join(roots, F.col("digest") == F.col("node"), "left").select("band", "digest", "first", F.coalesce("root", "digest").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select(F.col("band").alias("k"))
-    placed = placed.join(mixed, F.col("band") == F.col("k")).select("band", "digest", "first", "root")
-    rest = placed.join(led, (F.col("digest") == F.col("a")) & (F.col("first") == F.col("b"))).select("band", "digest", "root", "na", F.col("nb").alias("size"), (F.col("na") - F.col("both")).alias("own"), "gone", "more", (F.col("na") - F.col("both") - bits(F.col("more"))).alias("spare"))
-    rest = written(rest, "mixed")
-    other = rest.select(F.col("band").alias("k"), F.col("digest").alias("b"), F.col("root").alias("other"), F.col("na").alias("nb"), F.col("own").alias("own_b"), F.col("gone").alias("gone_b"), F.col("more").alias("more_b"), F.col("spare").alias("spare_b"))
-    # two texts share what both share with their leader; of their other n-grams they share at most those whose
-    # hashes meet, plus as many as hashes of one text's own n-grams fall together
-    lost = bits(F.zip_with("gone", "gone_b", lambda x, y: x.bitwiseOR(y)))
-    met_too = bits(F.zip_with("more", "more_b", lambda x, y: x.bitwiseAND(y)))
-    most = F.col("size") - lost + F.least(F.col("own"), F.col("own_b"), met_too + F.least("spare", "spare_b"))
-    open_pair = (F.col("root") != F.col("other")) & (F.col("a") < F.col("b")) & enough(F.least("na", "nb"), F.col("na"), F.col("nb"), similarity) & enough(most, F.col("na"), F.col("nb"), similarity)
-    pairs = rest.withColumnRenamed("digest", "a").join(other, (F.col("band") == F.col("k")) & open_pair).select("a", "b").distinct()
-    more = written(compared(pairs, texts, n).where(similar).select("a", "b"), "links")
-    for table in (rest, buckets, texts, led):
+    # every text under each of its leaders, and the leaders under themselves
+    own = led.groupBy("b").agg(F.first("nb").alias("nb")).select(F.col("b").alias("leader"), F.col("b").alias("digest"), F.col("nb").alias("size"), F.col("nb").alias("n"), F.lit(0).cast("long").alias("lost"), F.array().cast("array<long>").alias("apart"))
+    placed = led.select(F.col("b").alias("leader"), F.col("a").alias("digest"), F.col("nb").alias("size"), F.col("na").alias("n"), (F.col("nb") - F.col("both")).alias("lost"), "apart").unionByName(own)
+    blocks = placed.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).select(F.col("leader").alias("k"), "blocks")
+    known_of = placed.groupBy("digest").agg(F.collect_set("leader").alias("leaders")).join(members.groupBy("digest").agg(F.count("*").alias("copies")), "digest")
+    known_of = known_of.join(roots, F.col("digest") == F.col("node"), "left").select(F.col("digest").alias("d"), "leaders", "copies", F.coalesce("root", "digest").alias("root"))
+    pairs = written(counted(placed.join(blocks, F.col("leader") == F.col("k")).join(known_of, F.col("digest") == F.col("d")), similarity), "pairs")
+    degrees = pairs.where("b is null").groupBy("a").agg(F.sum("weight").alias("links"))
+    for table in (buckets, texts, led):
         drop_table(spark, table)
-    return members, found.unionByName(more)
+    return members, found.unionByName(pairs.where("b is not null").select("a", "b")), degrees
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, recall: float = RECALL, max_hashes: int = MAX_HASHES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, class_id, n_links, digest) for every row of ``docs``."""
-    members, pairs = links(docs, similarity, n, recall, max_hashes, text, doc_id)
+    members, pairs, degree = links(docs, similarity, n, recall, max_hashes, text, doc_id)
     roots = components(pairs)
-    degree = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.count("*").alias("links"))
     copies = members.groupBy("digest").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     placed = copies.join(roots, F.col("digest") == F.col("node"), "left").join(degree, F.col("digest") == F.col("a"), "left")
     placed = written(placed.select("digest", "low", F.coalesce("root", "digest").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")

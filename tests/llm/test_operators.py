@@ -203,6 +203,25 @@ def test_near_copies_equal_brute_force(spark, none):
     assert ngram_join.classes(none).count() == 0
 
 
+@pytest.mark.parametrize("block", [16, 256])
+def test_links_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng, rows = random.Random(4), []
+    for size, most in ((300, 3), (150, 6)):  # all pairs of the first family are similar, some of the drifting one
+        base = [f"b{size}x{i}" for i in range(size)]
+        rows += [" ".join(base)] * 7
+        for i in range(60):
+            copy = list(base)
+            for k in rng.sample(range(size), 3 if most == 3 else rng.randint(0, most)):
+                copy[k] = f"e{size}x{i}x{k}"
+            rows += [" ".join(copy)] * (1 + (i % 5 == 0))
+    sets = [ngram_join.ngram_set(t.encode(), 5) for t in rows]
+    expected = [sum(i != j and 5 * len(a & b) >= 4 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    got = ngram_join.classes(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert [r.n_links for r in sorted(got, key=lambda r: r.doc_id)] == expected
+    assert set(expected[:79]) == {78} and len(set(expected)) > 3
+
+
 # -- 5: quality rules
 
 
