@@ -2,10 +2,10 @@
 
 A text is lower-cased (A-Z) and reduced to its words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with single spaces.
 Phrases must stand there as consecutive words.  Notices may differ by up to ``ERROR_SHARE`` of their length
-(1 to ``MAX_ERRORS`` edits):
-each is cut into two more seeds than it may have errors, so every occurrence holds two seeds unchanged
-(pigeonhole) whose distance is off by no more than the errors.  One automaton finds all seeds, and around
-such pairs the regex library's bounded-error matching verifies the notice and gives its span and its edits.
+(rounded down, one edit at least): each is cut into two more seeds than it may have errors, so every
+occurrence holds two seeds unchanged (pigeonhole) whose distance is off by no more than the errors.  One
+automaton finds all seeds, and around such pairs the regex library's bounded-error matching verifies the
+notice and gives its span and its edits.
 
 Defined results: a null text counts as empty and has no words, spans or labels; very long texts are
 scanned whole; overlapping places all count; repeated rows and equal or null ids are scanned row by row;
@@ -43,7 +43,7 @@ NOTICES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
     "permission to use copy modify and or distribute this software for any purpose with or without fee": "isc",
 }
-ERROR_SHARE, MAX_ERRORS, INTACT = 0.08, 5, 2
+ERROR_SHARE, INTACT = 0.1, 2
 
 _SEPARATORS = bytes(32 if c < 48 or 57 < c < 97 or 122 < c < 128 else c for c in range(256))
 
@@ -63,7 +63,7 @@ def seeds(notice: str, errors: int) -> list[tuple[int, str]]:
 class Scanner:
     def __init__(self, phrases: Mapping[str, str], notices: Mapping[str, str], error_share: float):
         self.phrases = [(f" {p} ".encode(), label) for p, label in phrases.items()]
-        self.notices = [(n, label, max(1, min(MAX_ERRORS, int(len(n) * error_share)))) for n, label in notices.items()]
+        self.notices = [(n, label, max(1, int(len(n) * error_share))) for n, label in notices.items()]
         self.patterns = [regex.compile(f"(?e)(?:{regex.escape(n, literal_spaces=True)}){{e<={k}}}") for n, _, k in self.notices]
         places: dict[str, list[tuple[int, int]]] = {}
         for i, (notice, _, k) in enumerate(self.notices):

@@ -267,6 +267,22 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(none).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, label, edits",
+    [
+        ("relased under teh mit license", "mit", 3),
+        ("permission to use copy and or distribute this software for any purpose with or without fee", "isc", 7),
+        ("permission is granted free of charge to any person obtaining a copy", "mit", 7),
+        ("redistribution and use in source or binary form with or without modifications is permitted", "bsd", 8),
+    ],
+)
+def test_garbled_notices_are_found_up_to_a_tenth(text, label, edits):
+    scanner = licenses.Scanner({}, licenses.NOTICES, licenses.ERROR_SHARE)
+    assert all(k == len(n) // 10 for n, _, k in scanner.notices)
+    assert min(_distance(n, text) for n, x, _ in scanner.notices if x == label) <= edits
+    assert label in {s[2] for s in scanner.spans(f"some words {text} and more")}
+
+
 def _distance(a, b):
     """Fewest edits of ``a`` to a substring of ``b``."""
     row = [0] * (len(b) + 1)
