@@ -32,10 +32,13 @@ def supplies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def follows(spark: SparkSession, d: str) -> DataFrame:
-    """Who buys next after whom, on one day."""
-    e = _table(spark, d, "events").where("event_type = 'purchase'")
-    after = F.lead("user_id").over(Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id"))
-    return relation(e.select("user_id", after.alias("next_id")))
+    """Who buys next after whom: within each day, and from a day's last purchase to the next day's first (one row a day)."""
+    e = _table(spark, d, "events").where("event_type = 'purchase'").select(F.to_date("ts").alias("day"), "ts", "event_id", "user_id")
+    after = F.lead("user_id").over(Window.partitionBy("day").orderBy("ts", "event_id"))
+    at = F.struct("ts", "event_id", "user_id")
+    days = e.groupBy("day").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    over_night = days.select(F.col("last.user_id").alias("user_id"), F.lead("first.user_id").over(Window.orderBy("day")).alias("next_id"))
+    return relation(e.select("user_id", after.alias("next_id")).unionByName(over_night))
 
 
 def next_turn(spark: SparkSession, d: str) -> DataFrame:
