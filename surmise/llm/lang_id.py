@@ -7,7 +7,11 @@ bounded sample of labelled rows (``TRAIN_ROWS``); executors turn the sampled tex
 counts, so the driver never holds a text.
 
 A fifth of the sample calibrates: a temperature is fitted to it, and the rejection threshold is the score
-that all but ``REJECT_SHARE`` of its rightly named texts exceed, but never more than ``MAX_THRESHOLD``.
+that all but ``REJECT_SHARE`` of its rightly named texts exceed, but never more than ``MAX_THRESHOLD`` (which
+decides where the languages are easily told apart).  Texts in none of the languages can score high; they are
+known by the share of their subwords that training hasn't seen (the first ``SPARE`` of a text are free).  The
+limit is the share that all but ``REJECT_SHARE`` of the rightly named texts keep to; beyond it the score is
+lowered below the threshold.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0 and rejected; very long
 texts count whole; repeated rows and equal or null ids are judged row by row; without any labelled row
@@ -30,7 +34,7 @@ from surmise.llm._shared import ship_code
 
 BUCKETS, WIDTH = 4096, 16
 TRAIN_ROWS, EPOCHS, BATCH, RATE = 3_000, 12, 32, 0.3
-REJECT_SHARE, MAX_THRESHOLD = 0.001, 0.5
+REJECT_SHARE, MAX_THRESHOLD, SPARE = 0.001, 0.5, 5
 UNKNOWN = "und"
 CHUNK = 1 << 20
 
@@ -43,11 +47,14 @@ class LangModel:
     bias: np.ndarray
     temperature: float
     threshold: float
+    seen: np.ndarray
+    limit: float
 
     def probabilities(self, counts: np.ndarray) -> np.ndarray:
         logits = ((counts / counts.sum()) @ self.embeddings @ self.weights + self.bias) / self.temperature
         e = np.exp(logits - logits.max())
-        return e / e.sum()
+        p, strange = e / e.sum(), max(0, counts[~self.seen].sum() - SPARE) / counts.sum()
+        return p * (self.threshold * self.limit / strange) if strange > self.limit else p
 
 
 @lru_cache(maxsize=1)
@@ -119,7 +126,8 @@ def fit(langs: list[str], x: np.ndarray, seed: int = 5) -> LangModel | None:
             for value, grad, total in zip((e, w, b), (x[part].T @ (p @ w.T), hidden.T @ p, p.sum(axis=0)), sums, strict=True):
                 total += grad**2
                 value -= RATE * grad / np.sqrt(total)
-    temperature, threshold = 1.0, 0.0
+    temperature, threshold, limit = 1.0, 0.0, 1.0
+    seen = (x[train] > 0).any(axis=0)
     if len(check):
         logits, truth = x[check] @ e @ w + b, y[check]
 
@@ -130,9 +138,11 @@ def fit(langs: list[str], x: np.ndarray, seed: int = 5) -> LangModel | None:
         loss = {t: -np.log(np.maximum(1e-12, probabilities(t)[np.arange(len(truth)), truth])).mean() for t in np.geomspace(0.25, 8, 21)}
         temperature = float(min(loss, key=loss.get))
         q = probabilities(temperature)
-        right = q.max(axis=1)[q.argmax(axis=1) == truth]
-        threshold = min(MAX_THRESHOLD, float(np.quantile(right, REJECT_SHARE))) if len(right) else 0.0
-    return LangModel(names, e, w, b, temperature, threshold)
+        named = q.argmax(axis=1) == truth
+        if named.any():
+            threshold = min(MAX_THRESHOLD, float(np.quantile(q.max(axis=1)[named], REJECT_SHARE)))
+            limit = float(np.quantile(x[check][named][:, ~seen].sum(axis=1), 1 - REJECT_SHARE, method="higher"))
+    return LangModel(names, e, w, b, temperature, threshold, seen, limit)
 
 
 def train(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang") -> LangModel | None:

@@ -122,6 +122,18 @@ def test_language_counts_whole_texts():
     assert (lang_id.bucket_counts(text * 2) >= 2 * whole).all()
 
 
+def test_language_rejects_texts_in_no_learned_language():
+    rng = random.Random(7)
+    speech = {"en": ["the", "thing", "other", "that", "with"], "fr": ["été", "leçon", "quoi", "beau", "avec"]}
+    texts = [(lang, " ".join(rng.choice(ws) for _ in range(60))) for lang, ws in speech.items() for _ in range(100)]
+    x = np.array([lang_id.bucket_counts(t) for _, t in texts], np.float32)
+    model = lang_id.fit([lang for lang, _ in texts], x / x.sum(axis=1, keepdims=True))
+    score = lambda t: model.probabilities(lang_id.bucket_counts(t)).max()
+    assert all(score(t) >= model.threshold for _, t in texts) and score("the thing q") >= model.threshold
+    for other in ("suomen kieli on uralilaisten kielten ryhmään kuuluva kieli jota puhuvat pääosin suomalaiset", "a magyar nyelv az uráli nyelvcsalád tagja", "русский язык является одним из восточнославянских языков", "中文是世界上使用人数最多的语言之一我们今天去学校学习历史和地理"):
+        assert score(other) < model.threshold, other
+
+
 # -- 3: BPE
 
 
