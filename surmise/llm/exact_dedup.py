@@ -3,13 +3,15 @@
 ``LsmIndex`` keeps runs of (digest, keep_id, copies), each sorted by digest and written as Parquet with
 Bloom filters and min/max statistics, so that point lookups skip most row groups.
 
-* ``flush`` turns a batch into memtables (a bounded share of its rows each, aggregated map-side) and writes
-  every memtable as one sorted run of the newest level.
+* ``flush`` turns a batch into memtables (about ``memtable_rows`` of its rows each, dealt by a hash of the
+  identifier and aggregated map-side) and writes every memtable as a sorted run of its own, in one job.
 * ``compact`` merges all runs into one run of the next level: of equal digests the smallest identifier
   stays and the copies add up.
 * ``keepers`` verifies hits byte by byte: for digests seen more than once the normalised texts themselves
   are grouped, so two texts that share a digest stay apart.
 
+``dedup`` asks for every digest, so it joins the compacted run as a whole; the filters serve point lookups only.
+
 Texts are equal when identical after each run of white space ``[\\x20\\x09-\\x0D]+`` becomes one space; a
 null text counts as empty.  A hot text can't overload a task: copies are combined before every exchange,
 and the join of a batch with its hits is salted by identifier.
@@ -27,11 +29,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surmise.llm._shared import drop_table, written
+from surmise.llm._shared import drop_table, new_path, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 MEMTABLE_ROWS = 1_000_000
 SALTS = 32
+FILTERS = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "100000"}
 
 
 def normalised(text: Column) -> Column:
@@ -51,15 +54,23 @@ class LsmIndex:
         self.runs: list[tuple[int, DataFrame]] = []
 
     def _write(self, df: DataFrame, level: int) -> None:
-        filters = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "100000"}
-        self.runs.append((level, written(df, f"run-l{level}", **filters)))
+        self.runs.append((level, written(df, f"run-l{level}", **FILTERS)))
 
     def flush(self, batch: DataFrame, rows: int) -> None:
         """``batch``: (digest, doc_id), about ``rows`` of them."""
         memtables = max(1, -(-rows // self.memtable_rows))
         table = F.pmod(F.xxhash64("doc_id"), F.lit(memtables)).alias("memtable")
         merged = batch.groupBy(table, "digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("copies"))
-        self._write(merged.sortWithinPartitions("memtable", "digest"), 0)
+        run = merged.select("digest", "keep_id", "copies")
+        if memtables == 1:
+            self._write(run.sortWithinPartitions("digest"), 0)
+            return
+        path = new_path(self.spark, "runs-l0")
+        merged.sortWithinPartitions("memtable", "digest").write.options(compression="zstd", **FILTERS).partitionBy("memtable").parquet(path)
+        for k in range(memtables):
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/memtable={k}")
+            if at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):  # few rows may leave one empty
+                self.runs.append((0, self.spark.read.schema(run.schema).parquet(at.toString())))
 
     def compact(self) -> DataFrame:
         """One run with each digest once; the merged runs' files go."""

@@ -351,6 +351,26 @@ def test_index_keeps_smallest_over_batches(spark):
     index.drop()
 
 
+def test_every_memtable_is_a_sorted_run(spark):
+    index = exact_dedup.LsmIndex(spark, memtable_rows=50)
+    rows = [(i, hashlib.sha256(bytes([i % 90])).digest()) for i in range(200)]
+    index.flush(spark.createDataFrame(rows, "doc_id long, digest binary"), len(rows))
+    assert len(index.runs) == 4 and {level for level, _ in index.runs} == {0}
+    found = []
+    for _, run in index.runs:
+        for f in run.inputFiles():
+            digests = [bytes(r.digest) for r in spark.read.parquet(f).collect()]
+            assert digests == sorted(set(digests))
+        found += run.collect()
+    assert sum(r.copies for r in found) == 200 and len(found) > 90
+    expected = {d: (min(i for i, x in rows if x == d), sum(x == d for _, x in rows)) for _, d in rows}
+    looked = index.lookup(spark.createDataFrame([(d,) for d in expected], "digest binary")).collect()
+    assert {bytes(r.digest): (r.keep_id, r.copies) for r in looked} == expected
+    assert {bytes(r.digest): (r.keep_id, r.copies) for r in index.compact().collect()} == expected
+    assert len(index.runs) == 1
+    index.drop()
+
+
 # -- 9: chat
 
 
