@@ -8,7 +8,7 @@ In each band bucket every text is first verified against one leader (the text th
 all bands), which also gives the n-grams that only one of the two has.  Any two texts that met one leader are
 then compared by these differences, which decide exactly as the full sets do: both lack what either lacks of
 the leader, and share of their other n-grams what their differences share (differences are kept as 64-bit
-hashes).  The texts of a leader are dealt in blocks of about ``BLOCK``, and two blocks at a time are compared
+hashes).  The texts of a leader are dealt in blocks of about ``BLOCK`` (fewer if they differ much), and two blocks at a time are compared
 within a task, so no row is made per pair; the work still grows with the square of a group of near copies.
 
 Result: one row per document with ``class_id`` (the smallest doc_id of its component), ``n_links`` (all other
@@ -32,12 +32,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surmise.llm._shared import drop_table, ship_code, written
+from surmise.llm._shared import bit_filter, drop_table, may_hold, ship_code, sliced, written
 from surmise.llm.components import components
 
 WORDS, SIMILARITY, RECALL, MAX_HASHES = 5, 0.8, 0.995, 192
 SPACE = r"[\x20\x09-\x0D]+"
-TABLE_ENTRIES, BLOCK, COLUMNS = 400_000, 256, 4096
+CHUNK, FACTOR, COLUMNS = 1 << 16, np.uint64(0x9E3779B97F4A7C55), 4096
+#: A block holds about so many texts of a leader, and so many of their hashes, at most; a leader's texts go to so many tasks.
+BLOCK, BLOCK_HASHES, SPREAD = 256, 250_000, 64
+#: So many texts at a time become Python objects.
+SLICE = 64
 
 
 def band_counts(similarity: float = SIMILARITY, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -62,30 +66,52 @@ def digest(words: Column) -> Column:
     return F.unhex(F.md5(words.cast("binary")))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= TABLE_ENTRIES:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        self[word] = h
-        return h
-
-
 @lru_cache(maxsize=1)
-def _word_hashes() -> _WordHashes:
-    return _WordHashes()
-
-
-def ngram_hashes(words: list[bytes], n: int) -> np.ndarray:
-    """Distinct 32-bit hashes of the word n-grams."""
-    h = np.fromiter(map(_word_hashes().__getitem__, words), np.uint64, len(words))
-    m = max(1, len(h) - n + 1)
-    out = np.zeros(m, np.uint64)
-    for k in range(min(n, len(h))):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + m]
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * CHUNK - 1, FACTOR, np.uint64)]))
+    down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * CHUNK - 1, pow(int(FACTOR), -1, 1 << 64), np.uint64)]))
+    return up, down
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of a text whose words are joined by single spaces."""
+    up, down = _powers()
+    out, at = [], 0
+    while at < len(text):
+        stop = text.rfind(b" ", at, at + CHUNK) if len(text) - at > CHUNK else len(text)
+        if stop < 0:  # a word longer than a chunk
+            stop = text.find(b" ", at)
+            stop = len(text) if stop < 0 else stop
+            if stop - at > CHUNK:
+                out.append(np.array([xxhash.xxh3_64_intdigest(text[at:stop])], np.uint64))
+                at = stop + 1
+                continue
+        code = np.frombuffer(text, np.uint8, stop - at, at)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((code + np.uint64(1)) * up[: len(code)])])
+        space = np.flatnonzero(code == 32)
+        first, last = np.concatenate([[0], space + 1]), np.concatenate([space, [len(code)]])
+        h = (sums[last] - sums[first]) * down[first]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        out.append(h ^ (h >> np.uint64(29)))
+        at = stop + 1
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def ngram_hashes(text: bytes, n: int) -> np.ndarray:
+    """32-bit hashes of the word n-grams, repeats included; none of a text of fewer words."""
+    h = word_hashes(text)
+    m = len(h) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint32)
+    out = h[:m].copy()
+    for k in range(1, n):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += h[k : k + m]
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique((out >> np.uint64(32)).astype(np.uint32))
+    return (out >> np.uint64(32)).astype(np.uint32)
 
 
 @lru_cache(maxsize=4)
@@ -97,8 +123,10 @@ def _coefficients(hashes: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
 def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
     a, b = _coefficients(bands * rows)
     least = np.full(bands * rows, np.uint32(2**32 - 1))
-    for at in range(0, len(grams), 2048):  # bounded memory for long texts
-        least = np.minimum(least, (grams[at : at + 2048] * a + b).min(axis=1))
+    for at in range(0, len(grams), 512):  # a piece that stays in the processor's cache
+        part = grams[at : at + 512] * a
+        part += b
+        np.minimum(least, part.min(axis=1), out=least)
     out = np.arange(1, bands + 1, dtype=np.uint64)
     for column in least.reshape(bands, rows).T.astype(np.uint64):
         out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
@@ -107,20 +135,19 @@ def band_hashes(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(texts: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
-    """(digest, n_grams, bands) of (digest, words); texts of fewer than n words can only equal copies and get no band."""
-    schema = pa.schema([("digest", pa.binary()), ("n_grams", pa.int32()), ("bands", pa.list_(pa.int64()))])
+    """(digest, bands) of (digest, words); texts of fewer than n words can only equal copies and get no row."""
+    schema = pa.schema([("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts, found = [], []
-            for text in b.column(1).to_pylist():
-                words = text.split()
-                grams = ngram_hashes(words, n) if len(words) >= n else ()
-                counts.append(len(grams))
-                found.append(band_hashes(grams, bands, rows) if len(grams) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.binary()), pa.array(counts, pa.int32()), pa.array(found, pa.list_(pa.int64()))], schema=schema)
+        for b in sliced(batches, SLICE):
+            keys, found = [], []
+            for key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if len(grams := ngram_hashes(text, n)):
+                    keys.append(key)
+                    found.append(band_hashes(grams, bands, rows))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], schema=schema)
 
-    return texts.select("digest", F.col("words").cast("binary")).mapInArrow(run, "digest binary, n_grams int, bands array<long>")
+    return texts.select("digest", F.col("words").cast("binary")).mapInArrow(run, "digest binary, bands array<long>")
 
 
 def ngram_set(text: bytes, n: int) -> frozenset[bytes]:
@@ -129,28 +156,34 @@ def ngram_set(text: bytes, n: int) -> frozenset[bytes]:
 
 
 def compared(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """(a, b, both, na, nb, apart) of each pair: sizes of the n-gram sets and of what they share.
+    """(a, b, both, na, nb, apart) of each pair (text, leader): sizes of the n-gram sets and of what they share.
 
     ``apart``: hashes of the n-grams that only one of the two has.  ``texts``: (digest, words), one row a digest.
+    A leader's texts are spread over up to SPREAD tasks; each gets the leader's own text once, in front of them.
     """
     types = {"a": pa.binary(), "b": pa.binary(), "both": pa.int64(), "na": pa.int64(), "nb": pa.int64(), "apart": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, grams = None, frozenset()
-        for batch in batches:
+        grams: frozenset = frozenset()
+        for batch in sliced(batches, SLICE):
             rows = []
-            for b, ta, tb in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                if b != last:
-                    last, grams = b, ngram_set(tb, n)
-                own = ngram_set(ta, n)
+            for b, a, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = ngram_set(text, n)
+                if a is None:
+                    grams = own
+                    continue
                 apart = own ^ grams
-                rows.append((len(own & grams), len(own), len(grams), np.fromiter(map(xxhash.xxh3_64_intdigest, apart), np.uint64, len(apart)).view(np.int64)))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, list(types.values())[2:], strict=True))], names=list(types))
+                rows.append((a, b, len(own & grams), len(own), len(grams), np.fromiter(map(xxhash.xxh3_64_intdigest, apart), np.uint64, len(apart)).view(np.int64)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.values(), strict=True)], names=list(types))
 
-    left = texts.select(F.col("digest").alias("a"), F.col("words").cast("binary").alias("ta"))
-    right = texts.select(F.col("digest").alias("b"), F.col("words").cast("binary").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, both long, na long, nb long, apart array<long>")
+    words = texts.select(F.col("digest").alias("d"), F.col("words").cast("binary").alias("words"))
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(SPREAD)))
+    followers = dealt.join(words, F.col("a") == F.col("d")).select("b", "part", "a", "words")
+    leaders = dealt.select("b", "part").distinct().join(words, F.col("b") == F.col("d")).select("b", "part", F.lit(None).cast("binary").alias("a"), "words")
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = leaders.unionByName(followers).repartition(tasks, "b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    return rows.select("b", "a", "words").mapInArrow(run, "a binary, b binary, both long, na long, nb long, apart array<long>")
 
 
 def enough(both: Column, na: Column, nb: Column, similarity: float) -> Column:
@@ -260,21 +293,29 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, recal
     members = written(all_rows.select("doc_id", "digest"), "members")
     one = members.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     known = lambda c: F.coalesce(F.col(c), F.lit(-(2**63)))
-    signed = written(signatures(all_rows, bands, rows, n).where("n_grams > 0").groupBy("digest").agg(F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")), "signatures")
+    signed = written(signatures(all_rows, bands, rows, n).groupBy("digest").agg(F.first("bands").alias("bands")), "signatures")
 
-    banded = signed.select("digest", "n_grams", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("k"), "n")
-    met = written(banded.join(shared, F.col("band") == F.col("k")).select("band", "digest", "n_grams", "n"), "buckets")
+    banded = signed.select("digest", F.explode("bands").alias("band"))
+    # what is counted of a band is written before it is joined, so that Spark can split a hot band
+    shared = written(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("k"), "n"), "bands")
+    met = written(banded.join(shared, F.col("band") == F.col("k")).select("band", "digest", "n"), "buckets")
     drop_table(spark, signed)
+    drop_table(spark, shared)
     # the text that meets most others over all its bands: of copies of one text, likely the text itself
     known_by = met.groupBy("digest").agg(F.sum("n").alias("met")).select(F.col("digest").alias("d"), "met")
     lead = met.join(known_by, F.col("digest") == F.col("d")).groupBy("band").agg(F.max(F.struct("met", "digest")).alias("m")).select(F.col("band").alias("k"), F.col("m.digest").alias("first"))
-    buckets = written(met.join(lead, F.col("band") == F.col("k")).select("band", "digest", "n_grams", "first"), "buckets")
+    lead = written(lead, "leaders")
+    buckets = written(met.join(lead, F.col("band") == F.col("k")).select("band", "digest", "first"), "buckets")
     drop_table(spark, met)
+    drop_table(spark, lead)
     # each text is fetched once, from the copy with the smallest id, so a hot text moves as one row
-    want = buckets.select("digest").distinct().join(one, "digest").select(known("doc_id").alias("rep"), F.col("digest").alias("d"))
-    texts = all_rows.join(want, (known("doc_id") == F.col("rep")) & (F.col("digest") == F.col("d")), "left_semi")
+    want = written(buckets.select("digest").distinct().join(one, "digest").select(known("doc_id").alias("rep"), F.col("digest").alias("d")), "wanted")
+    bitmaps, bits = bit_filter(want, "d")
+    likely = may_hold(all_rows, "digest", bitmaps, bits).where("may_hold").drop("may_hold")
+    texts = likely.join(want, (known("doc_id") == F.col("rep")) & (F.col("digest") == F.col("d")), "left_semi")
     texts = written(texts.dropDuplicates(["digest"]).select("digest", "words"), "texts")
+    drop_table(spark, want)
+    drop_table(spark, bitmaps)
 
     led = written(compared(buckets.where("digest != first").select(F.col("digest").alias("a"), F.col("first").alias("b")).distinct(), texts, n), "led")
     similar = enough(F.col("both"), F.col("na"), F.col("nb"), similarity)
@@ -284,23 +325,24 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, recal
     # every text under each of its leaders, and the leaders under themselves
     own = led.groupBy("b").agg(F.first("nb").alias("nb")).select(F.col("b").alias("leader"), F.col("b").alias("digest"), F.col("nb").alias("size"), F.col("nb").alias("n"), F.lit(0).cast("long").alias("lost"), F.array().cast("array<long>").alias("apart"))
     placed = led.select(F.col("b").alias("leader"), F.col("a").alias("digest"), F.col("nb").alias("size"), F.col("na").alias("n"), (F.col("nb") - F.col("both")).alias("lost"), "apart").unionByName(own)
-    blocks = placed.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).select(F.col("leader").alias("k"), "blocks")
+    size = F.greatest(F.count("*") / BLOCK, F.sum(F.size("apart")) / BLOCK_HASHES)
+    blocks = written(placed.groupBy("leader").agg(F.ceil(size).alias("blocks")).select(F.col("leader").alias("k"), "blocks"), "blocks")
     known_of = placed.groupBy("digest").agg(F.collect_set("leader").alias("leaders")).join(members.groupBy("digest").agg(F.count("*").alias("copies")), "digest")
     known_of = known_of.join(roots, F.col("digest") == F.col("node"), "left").select(F.col("digest").alias("d"), "leaders", "copies", F.coalesce("root", "digest").alias("root"))
     pairs = written(counted(placed.join(blocks, F.col("leader") == F.col("k")).join(known_of, F.col("digest") == F.col("d")), similarity), "pairs")
     degrees = pairs.where("b is null").groupBy("a").agg(F.sum("weight").alias("links"))
-    for table in (buckets, texts, led):
+    for table in (buckets, texts, led, blocks):
         drop_table(spark, table)
     return members, found.unionByName(pairs.where("b is not null").select("a", "b")), degrees
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, recall: float = RECALL, max_hashes: int = MAX_HASHES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, class_id, n_links, digest) for every row of ``docs``."""
+    """(doc_id, class_id, n_links, digest, root) for every row of ``docs``; ``root`` is the same digest throughout a class."""
     members, pairs, degree = links(docs, similarity, n, recall, max_hashes, text, doc_id)
     roots = components(pairs)
     copies = members.groupBy("digest").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     placed = copies.join(roots, F.col("digest") == F.col("node"), "left").join(degree, F.col("digest") == F.col("a"), "left")
     placed = written(placed.select("digest", "low", F.coalesce("root", "digest").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
-    smallest = placed.groupBy("root").agg(F.min("low").alias("class_id"))
-    known = placed.join(smallest, "root").select(F.col("digest").alias("d"), "class_id", "n_links")
-    return members.join(known, F.col("digest") == F.col("d")).select("doc_id", "class_id", "n_links", "digest")
+    smallest = written(placed.groupBy("root").agg(F.min("low").alias("class_id")), "smallest")
+    known = placed.join(smallest, "root").select(F.col("digest").alias("d"), "class_id", "n_links", "root")
+    return members.join(known, F.col("digest") == F.col("d")).select("doc_id", "class_id", "n_links", "digest", "root")
