@@ -1,20 +1,23 @@
 """Exact dedup over a log-structured merge index of text digests.
 
-``LsmIndex`` keeps runs of (digest, keep_id, copies), each sorted by digest and written as Parquet with
-Bloom filters and min/max statistics, so that point lookups skip most row groups.
+``LsmIndex`` holds runs of (digest, keep_id, copies), each sorted by digest, as Parquet files with Bloom filters.
 
-* ``flush`` turns a batch into memtables (about ``memtable_rows`` of its rows each, dealt by a hash of the
-  identifier and aggregated map-side) and writes every memtable as a sorted run of its own, in one job.
-* ``compact`` merges all runs into one run of the next level: of equal digests the smallest identifier
-  stays and the copies add up.
-* ``keepers`` verifies hits byte by byte: for digests seen more than once the normalised texts themselves
-  are grouped, so two texts that share a digest stay apart.
+* ``flush`` takes a batch in: every task is a memtable, which it writes as sorted runs of ``memtable_rows`` rows at
+  most.  Nothing moves between tasks.  The runs of one batch are a segment of level 0.
+* ``compact`` is size-tiered: a level with ``FANOUT`` segments is merged into one segment of the next level, in
+  which the smallest identifier of equal digests stays and the copies add up.  ``compact(full=True)`` merges all.
+* Each segment has a filter, a bitmap of bounded size; ``lookup`` reads a segment for those digests only that its
+  filter lets pass, and skips segments for which none is left.
+* Hits receive byte verification: the texts of hits are grouped by their own bytes, so two texts that share a
+  digest stay apart.
 
-``dedup`` asks for every digest, so it joins the compacted run as a whole; the filters serve point lookups only.
+``dedup`` flushes a table, compacts it fully, and makes a filter of the digests seen more than once.  A row that
+the filter excludes is the only one of its text and is done; only the others are looked up, and only their texts
+are moved and verified.
 
 Texts are equal when identical after each run of white space ``[\\x20\\x09-\\x0D]+`` becomes one space; a
-null text counts as empty.  A hot text can't overload a task: copies are combined before every exchange,
-and the join of a batch with its hits is salted by identifier.
+null text counts as empty.  A hot text can't overload a task: copies are combined before every exchange, and
+joins with hits are salted by identifier.
 
 Defined results: rows with one id and equal texts count as copies of each other and get equal results
 (``kept`` is true for each of them if that id is the smallest); a null id never wins against another id,
@@ -25,16 +28,16 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surmise.llm._shared import drop_table, new_path, written
+from surmise.llm._shared import bit_filter, drop_table, may_hold, written
 
 SPACE = r"[\x20\x09-\x0D]+"
-MEMTABLE_ROWS = 1_000_000
-SALTS = 32
-FILTERS = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "100000"}
+MEMTABLE_ROWS, FANOUT, SALTS = 100_000, 8, 32
+FILTERS = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(MEMTABLE_ROWS)}
 
 
 def normalised(text: Column) -> Column:
@@ -46,93 +49,128 @@ def digest(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
+@dataclass
+class Segment:
+    """Runs that were written together, and their filter (made when first asked for)."""
+
+    level: int
+    runs: DataFrame
+    bitmaps: DataFrame | None = None
+    bits: int = 0
+
+    def filter(self) -> tuple[DataFrame, int]:
+        if self.bitmaps is None:
+            self.bitmaps, self.bits = bit_filter(self.runs.select("digest"), "digest")
+        return self.bitmaps, self.bits
+
+    def drop(self, spark: SparkSession) -> None:
+        drop_table(spark, self.runs)
+        if self.bitmaps is not None:
+            drop_table(spark, self.bitmaps)
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
+
+
 class LsmIndex:
-    """Runs of (digest, keep_id, copies) in a shared folder."""
-
-    def __init__(self, spark: SparkSession, memtable_rows: int = MEMTABLE_ROWS):
-        self.spark, self.memtable_rows = spark, memtable_rows
-        self.runs: list[tuple[int, DataFrame]] = []
-
-    def _write(self, df: DataFrame, level: int) -> None:
-        self.runs.append((level, written(df, f"run-l{level}", **FILTERS)))
-
-    def flush(self, batch: DataFrame, rows: int) -> None:
-        """``batch``: (digest, doc_id), about ``rows`` of them."""
-        memtables = max(1, -(-rows // self.memtable_rows))
-        table = F.pmod(F.xxhash64("doc_id"), F.lit(memtables)).alias("memtable")
-        merged = batch.groupBy(table, "digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("copies"))
-        run = merged.select("digest", "keep_id", "copies")
-        if memtables == 1:
-            self._write(run.sortWithinPartitions("digest"), 0)
-            return
-        path = new_path(self.spark, "runs-l0")
-        merged.sortWithinPartitions("memtable", "digest").write.options(compression="zstd", **FILTERS).partitionBy("memtable").parquet(path)
-        for k in range(memtables):
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/memtable={k}")
-            if at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):  # few rows may leave one empty
-                self.runs.append((0, self.spark.read.schema(run.schema).parquet(at.toString())))
-
-    def compact(self) -> DataFrame:
-        """One run with each digest once; the merged runs' files go."""
-        old = [df for _, df in self.runs]
-        level = 1 + max(level for level, _ in self.runs)
-        rows = old[0].select("digest", "keep_id", "copies")
-        for df in old[1:]:
-            rows = rows.unionByName(df.select("digest", "keep_id", "copies"))
-        merged = rows.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
-        self._write(merged.sortWithinPartitions("digest"), level)
-        self.runs = self.runs[-1:]
-        for df in old:
-            drop_table(self.spark, df)
-        return self.runs[0][1]
+    """Segments of sorted runs (digest, keep_id, copies) in the shared folder, newest last."""
+
+    def __init__(self, spark: SparkSession, memtable_rows: int = MEMTABLE_ROWS, fanout: int = FANOUT):
+        self.spark, self.memtable_rows, self.fanout = spark, memtable_rows, fanout
+        self.segments: list[Segment] = []
+        self.skipped = 0  # segments that lookups didn't have to read
+
+    def flush(self, batch: DataFrame) -> Segment:
+        """``batch``: (digest, doc_id).  Every task sorts what it holds and writes it as runs."""
+        memtables = batch.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("copies")).sortWithinPartitions("digest", "keep_id")
+        self.segments.append(Segment(0, written(memtables, "runs-l0", maxRecordsPerFile=str(self.memtable_rows), **FILTERS)))
+        return self.segments[-1]
+
+    def _merge(self, old: list[Segment], keep: tuple[Segment, ...] = ()) -> Segment:
+        rows = old[0].runs
+        for s in old[1:]:
+            rows = rows.unionByName(s.runs)
+        level = 1 + max(s.level for s in old)
+        new = Segment(level, written(_merged(rows).sortWithinPartitions("digest"), f"runs-l{level}", **FILTERS))
+        self.segments = [new, *(s for s in self.segments if s not in old)]
+        for s in old:
+            if s not in keep:
+                s.drop(self.spark)
+        return new
+
+    def compact(self, full: bool = False, keep: tuple[Segment, ...] = ()) -> Segment:
+        """Merge levels that are full, or everything; the files of what was merged go, unless it is in ``keep``."""
+        if full:
+            return self._merge(list(self.segments), keep)
+        level = 0
+        while any(s.level >= level for s in self.segments):
+            here = [s for s in self.segments if s.level == level]
+            if len(here) >= self.fanout:
+                self._merge(here, keep)
+            level += 1
+        return self.segments[0]
 
     def lookup(self, digests: DataFrame) -> DataFrame:
-        """(digest, keep_id, copies) of the given digests, over all runs."""
-        found = None
-        for _, run in self.runs:
-            hit = run.select("digest", "keep_id", "copies").join(digests.select("digest"), "digest", "left_semi")
+        """(digest, keep_id, copies) of those of the given digests that the index holds."""
+        wanted, found = digests.select("digest").distinct(), None
+        for s in self.segments:
+            likely = written(may_hold(wanted, "digest", *s.filter()).where("may_hold").select("digest"), "likely")
+            if likely.isEmpty():
+                self.skipped += 1
+                continue
+            hit = s.runs.join(likely, "digest", "left_semi")
             found = hit if found is None else found.unionByName(hit)
-        return found.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
+        return _merged(found) if found is not None else self.spark.createDataFrame([], "digest binary, keep_id long, copies long")
 
     def drop(self) -> None:
-        for _, df in self.runs:
-            drop_table(self.spark, df)
-        self.runs = []
+        for s in self.segments:
+            s.drop(self.spark)
+        self.segments = []
+
+
+def salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+
+
+def on_every_salt(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def verified_classes(docs: DataFrame, index: DataFrame) -> DataFrame:
-    """(digest, text, keep_id, copies) of every hit, grouped by the texts' own bytes.
+def verified_classes(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """(digest, text) of every hit, grouped by the texts' own bytes.
 
     ``docs``: (doc_id, text, digest).  A digest that turns out to hold several texts gives several rows.
     """
-    hits = index.where("copies > 1").select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    found = salted.join(hits.hint("shuffle_hash"), ["digest", "salt"])
-    return found.groupBy("digest", "text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("copies"))
+    found = salted(docs).join(on_every_salt(hits.select("digest")).hint("shuffle_hash"), ["digest", "salt"])
+    return found.select("digest", "text").distinct()
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", memtable_rows: int = MEMTABLE_ROWS, digest_of: Callable[[Column], Column] = digest) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, digest) for every row of ``docs``."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), normalised(F.col(text)).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), normalised(F.col(text)).alias("text"))
     rows = rows.withColumn("digest", digest_of(F.col("text")))
-    digests = written(rows.select("doc_id", "digest"), "digests")
     index = LsmIndex(spark, memtable_rows)
-    index.flush(digests, digests.count())
-    level = index.compact()
-
-    classes = verified_classes(rows, level)
-    split = classes.groupBy("digest").agg(F.count("*").alias("texts"), F.min("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
-    split = written(split, "verified")
-    whole = digests.join(level.select("digest", "keep_id", "copies"), "digest")
-    clashing = split.where("texts > 1").select("digest")
-    if clashing.isEmpty():
-        out = whole
-    else:
+    first = index.flush(rows.select("digest", "doc_id"))
+    whole = index.compact(full=True, keep=(first,))
+    hits = written(whole.runs.where("copies > 1"), "hits")
+    bitmaps, bits = bit_filter(hits, "digest")
+
+    texts = verified_classes(may_hold(rows, "digest", bitmaps, bits).where("may_hold"), hits).groupBy("digest").agg(F.count("*").alias("texts"))
+    clashing = written(texts.where("texts > 1").select("digest"), "clashing")
+
+    # every row is in a run of its own batch, so the texts needn't be read again
+    seen = may_hold(first.runs.select("digest", F.col("keep_id").alias("doc_id")), "digest", bitmaps, bits)
+    alone = seen.where("NOT may_hold").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("copies"), "digest")
+    maybe = salted(seen.where("may_hold")).join(on_every_salt(hits), ["digest", "salt"], "left")
+    found = maybe.select("doc_id", F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("copies", F.lit(1)).alias("copies"), "digest")
+    if not clashing.isEmpty():
         # two texts under one digest: these few rows get the answer of their own bytes
-        apart = rows.join(clashing, "digest")
-        own = apart.join(classes.select("digest", "text", "keep_id", "copies"), ["digest", "text"]).select("digest", "doc_id", "keep_id", "copies")
-        out = whole.join(clashing, "digest", "left_anti").select("digest", "doc_id", "keep_id", "copies").unionByName(own)
+        apart = rows.join(clashing, "digest", "left_semi")
+        own = apart.join(apart.groupBy("digest", "text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("copies")), ["digest", "text"])
+        found = found.join(clashing, "digest", "left_anti").unionByName(own.select("doc_id", "keep_id", "copies", "digest"))
+    out = alone.unionByName(found)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return out.select("doc_id", "keep_id", F.col("copies").alias("group_size"), kept.alias("kept"), "digest")
 
