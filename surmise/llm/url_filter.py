@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-GRAM, BUCKETS, PATH_SALT = 4, 2048, 977
+GRAM, BUCKETS, PATH_SALT = 4, 16384, 977
 MAX_LABELLED = 100_000
 
 
@@ -69,19 +69,25 @@ def buckets(host: str, path: str) -> list[int]:
     return out
 
 
-def fit(labelled: Sequence[tuple[str, int]], rounds: int = 400, rate: float = 0.5, ridge: float = 1e-3) -> UrlModel:
-    """Full-batch gradient descent; weights are rounded so that they print exactly."""
+def fit(labelled: Sequence[tuple[str, int]], rounds: int = 1500, rate: float = 1.0, ridge: float = 3e-4) -> UrlModel:
+    """Full-batch gradient descent in which both labels weigh the same; weights are rounded so that they print exactly."""
     if len(labelled) > MAX_LABELLED:
         raise ValueError(f"the labelled table is meant to be small: at most {MAX_LABELLED} rows")
-    x = np.zeros((len(labelled), BUCKETS))
-    for row, (url, _) in enumerate(labelled):
-        np.add.at(x[row], buckets(*split_url(url)), 1.0)
-    y, w, b = np.array([label for _, label in labelled], float), np.zeros(BUCKETS), 0.0
+    found = [buckets(*split_url(url)) for url, _ in labelled]
+    used = sorted(set().union(*found))  # the others stay 0
+    column = {bucket: i for i, bucket in enumerate(used)}
+    x = np.zeros((len(labelled), len(used)))
+    for row, own in enumerate(found):
+        np.add.at(x[row], [column[k] for k in own], 1.0)
+    y, w, b = np.array([label for _, label in labelled], float), np.zeros(len(used)), 0.0
+    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     for _ in range(rounds):
-        g = (1 / (1 + np.exp(-(x @ w + b))) - y) / max(1, len(y))
+        g = (1 / (1 + np.exp(-(x @ w + b))) - y) * share
         w -= rate * (x.T @ g + ridge * w)
         b -= rate * g.sum()
-    return UrlModel(round(float(b), 6), tuple(round(float(v), 6) for v in w))
+    weights = np.zeros(BUCKETS)
+    weights[used] = w
+    return UrlModel(round(float(b), 4), tuple(round(float(v), 4) for v in weights))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
