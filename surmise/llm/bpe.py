@@ -1,7 +1,8 @@
 """Byte-level BPE, encoded with a priority queue of merge ranks and decoded by joining vocabulary strings.
 
 ``ByteBpe`` reads a ``tokenizer.json`` file (its path is a parameter) and gives the ids that the tokenizers
-library gives with ``add_special_tokens=False``.
+library gives with ``add_special_tokens=False``.  A file with settings that aren't supported (a normalizer, another
+pre-tokenizer or decoder, word ends, byte fallback, added tokens that take white space along) is a ValueError.
 
 A piece of text that the pre-tokenizer's pattern cuts out becomes a doubly linked list of byte symbols.
 All mergeable neighbours wait in a heap as (rank, position); the lowest rank merges first, of equal ranks
@@ -32,7 +33,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surmise.llm._shared import ship_code
+from surmise.llm._shared import ship_code, sliced
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TABLE_ENTRIES, TABLE_CHARS = 300_000, 48
@@ -48,6 +49,22 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def settings(spec: dict) -> bool:
+    """Whether texts get a space in front; raises if the file asks for what isn't supported."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = {
+        "normalizer": spec.get("normalizer"),
+        "pre-tokenizer": pre.get("type") != "ByteLevel" or not pre.get("use_regex", True),
+        "decoder": (spec.get("decoder") or {}).get("type") != "ByteLevel",
+        "model": model.get("type", "BPE") != "BPE",
+        **{k: model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")},
+        "added tokens": any(t.get(k) for t in spec.get("added_tokens", ()) for k in ("lstrip", "rstrip", "single_word")),
+    }
+    if found := [k for k, v in odd.items() if v]:
+        raise ValueError(f"the tokenizer file's {', '.join(found)} isn't supported")
+    return bool(pre.get("add_prefix_space"))
+
+
 class _OtherSpace(Exception):
     """A space that white space, another space or the end of the text follows."""
 
@@ -73,6 +90,7 @@ class ByteBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.space_first = settings(spec)
         vocab, byte = spec["model"]["vocab"], byte_letters()
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
@@ -119,6 +137,8 @@ class ByteBpe:
         return self._merged(found[0]) if len(found) == 1 else b"".join(map(self.piece.__getitem__, found))
 
     def _ordinary(self, text: str) -> bytes:
+        if self.space_first and not text.startswith(" "):
+            text = f" {text}"
         first, *rest = text.split(" ")
         try:
             return self.at_start[first] + b"".join(map(self.after_space.__getitem__, rest))
@@ -180,13 +200,6 @@ def joined(ids: bytes, strings: dict[int, bytes]) -> str:
     return b"".join(map(strings.__getitem__, np.frombuffer(ids, ID).tolist())).decode("utf-8", "replace")
 
 
-def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in slices, so that only some rows at a time become Python objects."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def small_batches(rows: Iterable[tuple], schema: pa.Schema, weight: int) -> Iterator[pa.RecordBatch]:
     """Record batches of ``rows``, each ended once the values in column ``weight`` reach BATCH_BYTES."""
     held: list[tuple] = []

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surmise.llm._shared import ship_code
+from surmise.llm._shared import ship_code, sliced
 from surmise.llm.bpe import NativeBpe, small_batches, tokenizer
 
 BUDGET, HISTORY = 1024, 256
@@ -127,7 +127,7 @@ def windows(turns: DataFrame, path: str, budget: int = BUDGET, history: int = HI
 
         def rows():
             conv, writer, begun = None, _Writer(budget, history), False
-            for b in batches:
+            for b in sliced(batches):
                 for c, role, text in zip(*(x.to_pylist() for x in b.columns), strict=True):
                     first = not begun or c != conv
                     if first:
@@ -159,7 +159,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
         def rows():
             state = None
-            for b in batches:
+            for b in sliced(batches, 64):
                 for conv, number, text, repeated, loss in zip(*(x.to_pylist() for x in b.columns), strict=True):
                     if number == 0:
                         if state:

@@ -21,7 +21,7 @@ those named like an output are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surmise.llm._shared import ship_code
+from surmise.llm._shared import passed_on, ship_code, sliced
 
 BUCKETS, WIDTH = 4096, 16
 TRAIN_ROWS, EPOCHS, BATCH, RATE = 3_000, 12, 32, 0.3
@@ -89,7 +89,7 @@ def sample_features(labelled: DataFrame, text: str, lang: str) -> tuple[list[str
     picked = labelled.where(draw).select(text, lang).limit(2 * TRAIN_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = [(x, c) for t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (c := bucket_counts(t)) is not None]
             used = [np.flatnonzero(c) for _, c in found]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array(used, pa.list_(pa.int32())), pa.array([c[u] for (_, c), u in zip(found, used, strict=True)], pa.list_(pa.int32()))], names=["lang", "used", "n"])
@@ -151,10 +151,10 @@ def train(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang
     return fit(*sample_features(docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()), text, lang))
 
 
-def predict(docs: DataFrame, model: LangModel | None, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and rejected."""
+def predict(docs: DataFrame, model: LangModel | None, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with lang_pred, score and rejected."""
     ship_code(docs.sparkSession)
-    kept = docs.drop("lang_pred", "score", "rejected")
+    kept, kinds = passed_on(docs, keep, ("lang_pred", "score", "rejected"))
 
     def judged(t: str | None) -> tuple[str, float, bool]:
         counts = bucket_counts(t) if model else None
@@ -165,10 +165,9 @@ def predict(docs: DataFrame, model: LangModel | None, text: str = "text") -> Dat
         return model.langs[best], float(p[best]), bool(p[best] < model.threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = list(map(judged, b.column(b.num_columns - 1).to_pylist()))
             pred, score, rejected = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*b.schema.names[:-1], "lang_pred", "score", "rejected"])
 
-    kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.select("*", F.col(text).cast("string").alias("__text")).mapInArrow(run, f"{kinds}, lang_pred string, score double, rejected boolean")
+    return docs.select(*(docs[f"`{c}`"] for c in kept.columns), F.col(text).cast("string").alias("__text")).mapInArrow(run, f"{kinds}, lang_pred string, score double, rejected boolean")

@@ -14,7 +14,7 @@ an empty table gives an empty result; extra columns stay, and those named like a
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
 
 import ahocorasick
@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surmise.llm._shared import ship_code
+from surmise.llm._shared import passed_on, ship_code, sliced
 
 PHRASES = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Short notices and their labels; words as they are after normalisation.
@@ -152,15 +152,15 @@ _TYPES = {
 }
 
 
-def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, notices: Mapping[str, str] = NOTICES, error_share: float = ERROR_SHARE, text: str = "text") -> DataFrame:
-    """``docs`` with n_words, places (of phrases, by word) and spans (of notices, by character of the normalised text)."""
+def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, notices: Mapping[str, str] = NOTICES, error_share: float = ERROR_SHARE, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with n_words, places (of phrases, by word) and spans (of notices, by character of the normalised text)."""
     ship_code(docs.sparkSession)
-    kept = docs.drop(*_TYPES)
+    kept, kinds = passed_on(docs, keep, _TYPES)
     key = (tuple(phrases.items()), tuple(notices.items()), error_share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _scanner(*key)
-        for b in batches:
+        for b in sliced(batches):
             counts, places, spans = [], [], []
             for t in b.column(b.num_columns - 1).to_pylist():
                 words = normalised_words(t)
@@ -170,8 +170,7 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, notices: Mapping
                 spans.append([dict(zip(("start", "stop", "label", "edits", "length"), s, strict=True)) for s in scanner.spans(joined.decode("utf-8", "replace"))])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(counts, _TYPES["n_words"]), pa.array(places, _TYPES["places"]), pa.array(spans, _TYPES["spans"])], names=[*b.schema.names[:-1], *_TYPES])
 
-    kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.select("*", F.col(text).cast("string").alias("__text")).mapInArrow(run, f"{kinds}, {KINDS}")
+    return docs.select(*(docs[f"`{c}`"] for c in kept.columns), F.col(text).cast("string").alias("__text")).mapInArrow(run, f"{kinds}, {KINDS}")
 
 
 def summary(scanned: DataFrame) -> dict[str, F.Column]:

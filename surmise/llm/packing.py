@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from surmise.llm._shared import ship_code, written
-from surmise.llm.bpe import ID, NativeBpe, sliced, small_batches, tokenizer
+from surmise.llm._shared import ship_code, sliced, written
+from surmise.llm.bpe import ID, NativeBpe, small_batches, tokenizer
 
 WINDOW, END_ID = 2048, 1
 

@@ -16,7 +16,7 @@ extra columns stay, and those named like an output are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -26,11 +26,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surmise.llm._shared import ship_code
+from surmise.llm._shared import passed_on, ship_code, sliced
 
 BUCKETS, FACTORS = 4096, 8
 TRAIN_ROWS, EPOCHS, BATCH, RATE, RIDGE = 6_000, 8, 32, 0.05, 1e-5
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 100_000
 
 _UPPER, _LOWER, _DIGIT = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _UPPER[65:91], _LOWER[97:123], _DIGIT[48:58] = True, True, True
@@ -91,11 +91,12 @@ def sample_features(docs: DataFrame, labels: DataFrame, text: str, n_chars: str,
     total = labels.count()
     share = min(1.0, TRAIN_ROWS / max(1, total))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) if share < 1 else F.lit(True)
-    drawn = labels.where(draw).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__y")).limit(2 * TRAIN_ROWS)
-    picked = docs.join(F.broadcast(drawn), F.col("doc_id") == F.col("__id")).select(text, n_chars, "__y")
+    drawn = labels.where(draw).select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).limit(2 * TRAIN_ROWS)
+    own = docs.select("doc_id", F.col(text).alias("text"), F.col(n_chars).cast("long").alias("n"))
+    picked = own.join(F.broadcast(drawn), F.col("doc_id") == F.col("id")).select("text", "n", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = [features(t, c) for t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32())), pa.array([f[2] for f in found], pa.list_(pa.float64()))], names=["y", "used", "v", "stats"])
 
@@ -138,15 +139,14 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
     return fit(*sample_features(docs, labels.where(usable & F.col(label).isNotNull()), text, n_chars, label))
 
 
-def score(docs: DataFrame, model: FmModel, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """``docs`` with score, the probability of label 1."""
+def score(docs: DataFrame, model: FmModel, text: str = "text", n_chars: str = "n_chars", keep: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with score, the probability of label 1."""
     ship_code(docs.sparkSession)
-    kept = docs.drop("score")
+    kept, kinds = passed_on(docs, keep, ("score",))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = [model.score(*features(t, c)) for t, c in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(found, pa.float64())], names=[*b.schema.names[:-2], "score"])
 
-    kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.select("*", F.col(text).cast("string").alias("__text"), F.col(n_chars).cast("long").alias("__n")).mapInArrow(run, f"{kinds}, score double")
+    return docs.select(*(docs[f"`{c}`"] for c in kept.columns), F.col(text).cast("string").alias("__text"), F.col(n_chars).cast("long").alias("__n")).mapInArrow(run, f"{kinds}, score double")

@@ -33,7 +33,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "n_chars")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     model = quality_fm.train(docs, labels, id_remainder("doc_id", 3) != 1)
-    out = quality_fm.score(docs, model)
+    out = quality_fm.score(docs, model, keep=["doc_id"])
     return out.select("doc_id", (id_remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -64,7 +64,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned = licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    scanned = licenses.scan(documents(spark, sf_dir), keep=["doc_id"])
     sums = licenses.summary(scanned)
     return scanned.select("doc_id", "n_words", *(c.alias(name) for name, c in sums.items()))
 
@@ -72,7 +72,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = lang_id.train(docs, id_remainder("doc_id", 4) != 2)
-    out = lang_id.predict(docs.select("doc_id", "text"), model)
+    out = lang_id.predict(docs, model, keep=["doc_id"])
     return out.select("doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 

@@ -75,3 +75,17 @@ def test_repeated_rows_stay_once(spark, sf_dir):
     kept = corpus_pipeline.exact(spark, docs, sf_dir)
     assert sorted((str(r.doc_id), r.text) for r in kept.collect())[0] == ("1", text)
     assert kept.count() == 3 and corpus_pipeline.near(spark, kept, sf_dir).count() == 2
+
+
+def test_one_row_of_a_class_stays_for_shared_and_null_ids(spark, monkeypatch):
+    """Similar rows with one id, with null ids, and repeated rows whose other columns differ; columns with clashing names."""
+    base = " ".join(f"word{i}" for i in range(200))
+    near, other = base + " more", " ".join(f"other{i}" for i in range(200))
+    rows = [(1, base, "b", "x"), (1, near, "a", "x"), (None, other, "b", "y"), (None, other + " end", "a", "y"), (7, "alone", "z", "z"), (7, "alone", "q", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, root string").withColumns({"digest": corpus_pipeline.F.lit("clash"), "row": corpus_pipeline.F.lit(1), "id": corpus_pipeline.F.lit(2)})
+    kept = corpus_pipeline.near(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), r.root) for r in kept) == [("1", "x"), ("7", "z"), ("None", "y")]
+    assert [r.lang for r in kept if r.doc_id == 7] == ["q"] and kept[0].__fields__ == docs.columns
+    kept = corpus_pipeline.exact(spark, docs.unionByName(docs), "").collect()
+    assert sorted((str(r.doc_id), r.text[:6]) for r in kept) == sorted([("1", "word0 "), ("1", "word0 "), ("None", "other0"), ("None", "other0"), ("7", "alone")])
+    assert corpus_pipeline.near(spark, docs.limit(0), "").columns == docs.columns
