@@ -26,11 +26,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _kept_rows(docs: DataFrame, digest: Column, keep: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id and digest are among ``keep``; a row that is repeated stays once."""
-    keys = keep.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__key"))
-    found = docs.withColumn("__digest", digest)
-    found = found.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__key")), "left_semi")
-    return found.dropDuplicates(["doc_id", "__digest"]).select(*docs.columns)
+    """The rows of ``docs`` whose id and digest are in ``keep`` (doc_id, digest); of rows with the same id and digest,
+    the one whose columns come first as JSON.  The columns travel in a struct, so no name can clash."""
+    found = docs.select(F.col("doc_id").alias("id"), digest.alias("digest"), F.struct("*").alias("row"))
+    keys = keep.select(F.col("doc_id").alias("keep_id"), F.col("digest").alias("key"))
+    found = found.join(keys, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("digest") == F.col("key")), "left_semi")
+    return found.groupBy("id", "digest").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +41,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies, the document with the smallest doc_id."""
-    classes = ngram_join.classes(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    return _kept_rows(docs, ngram_join.digest(ngram_join.joined_words(F.col("text"))), classes)
+    """Of each class of near copies, one document: that with the smallest doc_id, of equal ids with the smallest digest."""
+    classes = ngram_join.classes(docs.select("doc_id", "text"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("m")
+    keep = classes.groupBy("root").agg(least).select("m.doc_id", "m.digest")
+    return _kept_rows(docs, ngram_join.digest(ngram_join.joined_words(F.col("text"))), keep)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
