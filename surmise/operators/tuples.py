@@ -7,9 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surmise.terms import RESERVED
-
-LOWEST, POOL = -(2**63), 1000
+from surmise.terms import LOWEST, POOL, RESERVED, Symbol, Wildcard
 
 
 def substitute_values(df: DataFrame, changes: Mapping[str | int, str | int]) -> DataFrame:
@@ -29,6 +27,11 @@ def is_symbolic(column: Column, kind: str) -> Column:
     return column.startswith(RESERVED[0]) if kind == "string" else column < LOWEST + 1 + POOL
 
 
+def holds_number(column: Column) -> Column:
+    """Whether a cell's text is a whole number that fits a column of numbers."""
+    return column.try_cast("long").isNotNull()
+
+
 def is_number(text: str) -> bool:
     """Whether a text is a whole number."""
     try:
@@ -67,6 +70,19 @@ def flatten(items: Iterable) -> list:
     return out
 
 
+def recursive_flatten(items: Iterable) -> list:
+    """Lists, tuples and sets within each other as one list; texts and terms stay whole, named tuples too."""
+    out: list = []
+    for x in items:
+        out += recursive_flatten(x) if isinstance(x, (list, tuple, set, frozenset)) and not hasattr(x, "_fields") else [x]
+    return out
+
+
+def is_arg_symbolic_or_wildcard(arg: object) -> bool:
+    """Whether an argument leaves its value open."""
+    return isinstance(arg, (Symbol, Wildcard))
+
+
 def remove_duplicates(items: Iterable) -> list:
     """The first of each group of equal items, in order."""
     return list(dict.fromkeys(items))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surmise.terms import NUM, RESERVED, SYM, Fact, Literal, Number, String
+from surmise.terms import LOWEST, NUM, POOL, RESERVED, SYM, Fact, Literal, Number, String
 
 SPARK_TYPES = {SYM: T.StringType(), NUM: T.LongType()}
 
@@ -29,16 +29,69 @@ def to_frame(spark: SparkSession, facts: Iterable[Fact], types: Sequence[str]) -
     return spark.createDataFrame(rows, schema_of(types))
 
 
-def relation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Any DataFrame of string and whole-number columns as a relation: set semantics, no nulls."""
+def _fail(condition: Column, message: Column, value: Column) -> Column:
+    """``value``, or an error while the plan runs wherever ``condition`` holds."""
+    return F.when(condition, F.raise_error(message)).otherwise(value)
+
+
+def relation(df: DataFrame, columns: Sequence[str] | None = None, nulls: str = "raise") -> DataFrame:
+    """Any DataFrame of string and whole-number columns as a relation: set semantics, no nulls.
+
+    A null cell is an error when the relation is evaluated; with ``nulls="drop"`` rows with one are left out.
+    """
+    if nulls not in ("raise", "drop"):
+        raise ValueError(f"nulls must be 'raise' or 'drop', not {nulls!r}")
     columns = columns or df.columns
     kinds = dict(df.dtypes)
     out = []
     for i, c in enumerate(columns):
         if kinds[c] not in ("string", "bigint", "int", "smallint", "tinyint"):
             raise TypeError(f"column {c!r} is {kinds[c]}; cast it to string or bigint first")
-        out.append(F.col(c).cast("string" if kinds[c] == "string" else "long").alias(f"v{i}"))
-    return df.select(*out).dropna().distinct()
+        cell = F.col(c).cast("string" if kinds[c] == "string" else "long")
+        if nulls == "raise" and df.schema[c].nullable:
+            cell = _fail(F.col(c).isNull(), F.lit(f"column {c!r} has a null cell"), cell)
+        out.append(cell.alias(f"v{i}"))
+    found = df.select(*out)
+    return (found.dropna() if nulls == "drop" else found).distinct()
+
+
+def is_reserved(cell: Column, kind: str) -> Column:
+    """Whether a cell of ground data is one of the values that stand for unknown ones."""
+    if kind == NUM:
+        return cell < LOWEST + 1 + POOL
+    bad = F.lit(False)
+    for p in RESERVED:
+        bad = bad | cell.startswith(p)
+    return bad
+
+
+def guarded(df: DataFrame) -> DataFrame:
+    """``df``, which fails when it is evaluated if a cell holds a reserved value; other columns than v0, v1, ... stay."""
+    out = []
+    for name, kind in df.dtypes:
+        c = F.col(name)
+        if name.startswith("v") and name[1:].isdigit():
+            c = _fail(is_reserved(c, SYM if kind == "string" else NUM), F.concat(F.lit("in conflict with a reserved keyword: "), c.cast("string")), c)
+        out.append(c.alias(name))
+    return df.select(*out)
+
+
+def escaped(cell: Column) -> Column:
+    """A cell in which tabs, line ends and backslashes are written as ``\\t``, ``\\n``, ``\\r`` and ``\\\\``."""
+    for raw, mark in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+        cell = F.replace(cell, F.lit(raw), F.lit(mark))
+    return cell
+
+
+def unescaped(cell: Column) -> Column:
+    """What ``escaped`` made of a cell, undone; other uses of the backslash stay."""
+
+    def marks(part: Column) -> Column:
+        for mark, raw in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r")):
+            part = F.replace(part, F.lit(mark), F.lit(raw))
+        return part
+
+    return F.array_join(F.transform(F.split(cell, r"\\\\", -1), marks), "\\")
 
 
 def types_of(df: DataFrame) -> tuple[str, ...]:
@@ -58,12 +111,14 @@ def _files(spark: SparkSession, directory: str) -> dict[str, list[str]]:
     return found
 
 
-def load_relations(spark: SparkSession, directory: str, declarations: Mapping[str, Sequence[str]], names: Iterable[str] | None = None, guard: bool = True) -> dict[str, DataFrame]:
+def load_relations(spark: SparkSession, directory: str, declarations: Mapping[str, Sequence[str]], names: Iterable[str] | None = None, guard: bool = True, escapes: bool = True) -> dict[str, DataFrame]:
     """The relations in a directory of tab-separated files, ``<relation>.facts`` or ``.csv``.
 
     Fails on undeclared relations, rows with too many or too few columns and cells that aren't of their
-    column's type; with ``guard`` also on values that begin with a reserved prefix.  Bad rows surface when
-    the relation is first evaluated.
+    column's type; with ``guard`` also on reserved values.  Bad rows surface when the relation is first evaluated.
+    Empty lines are left out, but for relations of one text column, where they are the empty text.  With
+    ``escapes``, ``\\t``, ``\\n``, ``\\r`` and ``\\\\`` stand for a tab, line ends and a backslash, as ``write_relations``
+    writes them; switch it off for files whose backslashes are plain.
     """
     wanted = None if names is None else set(names)
     out = {}
@@ -73,7 +128,8 @@ def load_relations(spark: SparkSession, directory: str, declarations: Mapping[st
         if name not in declarations:
             raise ValueError(f"the relation {name!r} is not declared")
         types = declarations[name]
-        raw = spark.read.text(paths).where("value != ''").select(F.split("value", "\t", -1).alias("cells"))
+        lines = spark.read.text(paths)
+        raw = (lines if tuple(types) == (SYM,) else lines.where("value != ''")).select(F.split("value", "\t", -1).alias("cells"))
         size = F.size("cells")
         cells = F.when(size == len(types), F.col("cells")).otherwise(F.raise_error(F.concat(F.lit(f"{name} has {len(types)} columns, a row has "), size.cast("string"))))
         row = raw.select(cells.alias("cells"))
@@ -83,13 +139,10 @@ def load_relations(spark: SparkSession, directory: str, declarations: Mapping[st
             if column_type(t) == T.LongType():
                 number = cell.try_cast("long")
                 value = F.coalesce(number, F.raise_error(F.concat(F.lit(f"{name}, column {i}: not a whole number: "), cell)).cast("long"))
-            elif guard:
-                bad = F.lit(False)
-                for p in RESERVED:
-                    bad = bad | cell.startswith(p)
-                value = F.when(bad, F.raise_error(F.concat(F.lit(f"{name}, column {i}: in conflict with a reserved keyword: "), cell))).otherwise(cell)
             else:
-                value = cell
+                value = unescaped(cell) if escapes else cell
+            if guard:
+                value = _fail(is_reserved(value, t), F.concat(F.lit(f"{name}, column {i}: in conflict with a reserved keyword: "), cell), value)
             out_cols.append(value.alias(f"v{i}"))
         out[name] = row.select(*out_cols).distinct()
     return out
@@ -106,9 +159,10 @@ def from_frame(df: DataFrame, name: str) -> list[Fact]:
 
 
 def write_relations(directory: str, relations: Mapping[str, DataFrame]) -> None:
-    """One folder ``<relation>.facts`` of tab-separated files for each relation."""
+    """One folder ``<relation>.facts`` of tab-separated files for each relation; see ``escaped``.  A null cell is an error."""
     for name, df in relations.items():
-        df.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in df.columns]).alias("value")).write.text(f"{directory}/{name}.facts")
+        cells = [F.coalesce(escaped(F.col(c)) if t == "string" else F.col(c).cast("string"), F.raise_error(F.lit(f"{name}, column {i}: a null cell")).cast("string")) for i, (c, t) in enumerate(df.dtypes)]
+        df.select(F.concat_ws("\t", *cells).alias("value")).write.text(f"{directory}/{name}.facts")
 
 
 def write_facts(spark: SparkSession, directory: str, facts: Iterable[Fact]) -> None:

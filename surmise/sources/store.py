@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where it is unset (tests), a temporary one is set."""
+    """The folder in ``spark.checkpoint.dir``; only on one machine (tests), a temporary one may stand in."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="surmise-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -34,6 +37,10 @@ class Store:
     def read(self, paths: list[str], like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(*paths)
 
+    def clear(self) -> None:
+        """Delete every table of the evaluation: for when its results have been read."""
+        self.drop([self.root])
+
     def drop(self, paths: list[str]) -> None:
         for p in paths:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(p)

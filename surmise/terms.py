@@ -12,6 +12,8 @@ from typing import Any
 SYM, NUM = "symbol", "number"
 #: Names that facts and data may not begin with: the engine makes columns and values of these kinds itself.
 RESERVED = ("surmise_symbolic_", "surmise_binding_", "surmise_domain_")
+#: Numbers from the lowest one on that stand for unknown values, and so may not be in data.
+LOWEST, POOL = -(2**63), 1000
 #: Predicates that are computed, not stored.
 INTRINSIC = {"contains"}
 
@@ -60,14 +62,17 @@ class Symbol:
 Term = Variable | Wildcard | String | Number | Symbol
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, init=False)
 class Literal:
     name: str
     args: tuple[Term, ...]
-    positive: bool = True
+    positive: bool
 
-    def __post_init__(self) -> None:
-        object.__setattr__(self, "args", tuple(self.args))
+    def __init__(self, name: str, args: Iterable[Term] = (), positive: bool = True, *, sign: bool | None = None):
+        """``sign`` is another name of ``positive``."""
+        object.__setattr__(self, "name", name)
+        object.__setattr__(self, "args", tuple(args))
+        object.__setattr__(self, "positive", positive if sign is None else sign)
 
     def __str__(self) -> str:
         return f"{'' if self.positive else '!'}{self.name}({', '.join(map(str, self.args))})"
@@ -87,11 +92,19 @@ class Rule:
 
 @dataclass(frozen=True)
 class Fact:
-    """A tuple of a relation; with ``symbolic_sign``, one that may or may not be there."""
+    """A tuple of a relation; with ``symbolic_sign``, one that may or may not be there.
+
+    Built from a literal, or as ``Fact(name, args)``.
+    """
 
     head: Literal
     symbolic_sign: bool = False
 
+    def __post_init__(self) -> None:
+        if isinstance(self.head, str):
+            object.__setattr__(self, "head", Literal(self.head, () if isinstance(self.symbolic_sign, bool) else self.symbolic_sign))
+            object.__setattr__(self, "symbolic_sign", False)
+
     @property
     def name(self) -> str:
         return self.head.name
