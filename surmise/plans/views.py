@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from surmise.sources.facts import relation
+from surmise.sources.facts import relation as _relation
+
+
+def relation(df: DataFrame) -> DataFrame:
+    """Rows with a null cell aren't tuples of a view: SQL's joins and comparisons leave them out too."""
+    return _relation(df, nulls="drop")
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -79,7 +84,7 @@ SQL = {
     "region_name": "SELECT DISTINCT r_name x FROM region",
     "part_of": "SELECT 'C' || c_custkey x, n_name y FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
     "supplies": "SELECT DISTINCT l_suppkey::BIGINT x, l_partkey::BIGINT y FROM lineitem",
-    "follows": "SELECT DISTINCT a::BIGINT x, b::BIGINT y FROM (SELECT user_id a, LEAD(user_id) OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) b FROM events WHERE event_type = 'purchase') WHERE b IS NOT NULL",
+    "follows": "SELECT DISTINCT a::BIGINT x, b::BIGINT y FROM (SELECT user_id a, LEAD(user_id) OVER (ORDER BY ts, event_id) b FROM events WHERE event_type = 'purchase') WHERE b IS NOT NULL",
     "next_turn": "SELECT DISTINCT a.conv_id::BIGINT c, a.turn::BIGINT x, b.turn::BIGINT y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1",
     "bulk": _SOLD + "l_quantity >= 50 AND l_discount >= 0.1",
     "returned": _SOLD + "l_quantity >= 49 AND l_returnflag = 'R' AND l_discount >= 0.09",
