@@ -1,16 +1,17 @@
-"""Why-provenance: all minimal supports of chosen tuples.
+"""Why-provenance: all minimal supports of chosen tuples, or one of each.
 
 Derivations are a hyper-graph: an edge leads from a tuple to the tuples of one rule body that derives it, or
-to an input fact.  From the chosen tuples a backward slice walks that graph (joins, one round a depth); each
-slice then becomes a set of supports by a fixpoint over antichains in one Python group.
+to an input fact.  ``reached`` walks it back from the chosen tuples (joins, one round a depth).  ``families`` then
+computes the supports of every tuple on the way once, from the input facts upwards and semi-naively: each round
+joins the supports that the last one found with those known, and drops what a smaller support already covers.
+Tuples that share sub-proofs share that work, and no tuple's proofs have to meet in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import product
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +19,6 @@ from surmise.operators.rules import body_frame, head_columns, variables
 from surmise.sources.store import Store
 from surmise.terms import INTRINSIC, Rule
 
-MAX_SUPPORTS = 10_000
-
 
 def tuple_key(name: str, columns: Sequence[Column]) -> Column:
     """A text that tells tuples of all relations apart."""
@@ -41,74 +40,72 @@ def derivations(rules: Sequence[Rule], relations: Mapping[str, DataFrame], skip:
     return out
 
 
-def backward_slice(store: Store, seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """(gid, head) of all tuples that a seed (gid, head) is derived from; each group has its own slice."""
+def reached(store: Store, seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(head) of all tuples that some seed (head) is derived from, the seeds among them."""
     named = edges.select(F.col("head").alias("at"), "body")
-    path, frontier = store.write(seeds.select("gid", "head").distinct(), "frontier")
+    path, frontier = store.write(seeds.select("head").distinct(), "frontier")
     paths, like = [path], frontier
     while not frontier.isEmpty():
-        steps = frontier.join(named, F.col("head") == F.col("at")).select("gid", F.explode("body").alias("head")).distinct()
-        seen = store.read(paths, like).toDF("seen_gid", "seen_head")
-        steps = steps.join(seen, (F.col("gid") == F.col("seen_gid")) & (F.col("head") == F.col("seen_head")), "left_anti")
-        path, frontier = store.write(steps, "frontier")
+        steps = frontier.join(named, F.col("head") == F.col("at")).select(F.explode("body").alias("head")).distinct()
+        seen = store.read(paths, like).toDF("seen")
+        path, frontier = store.write(steps.join(seen, F.col("head") == F.col("seen"), "left_anti"), "frontier")
         paths.append(path)
     return store.read(paths, like)
 
 
-def absorb(family: set[frozenset], new: frozenset) -> bool:
-    """Add ``new`` unless a member is within it; drop members that contain it."""
-    if any(old <= new for old in family):
-        return False
-    family -= {old for old in family if new < old}
-    family.add(new)
-    return True
-
-
-def supports(goal: str, edges: Sequence[tuple[str, Sequence[str]]], leaves: Sequence[tuple[str, frozenset]], limit: int = MAX_SUPPORTS) -> set[frozenset]:
-    """The minimal supports of ``goal``.  ``leaves``: (tuple, elements of an input fact that it stands for)."""
-    found: dict[str, set[frozenset]] = {}
-    users: dict[str, list[int]] = {}
-    for i, (_, body) in enumerate(edges):
-        for b in body:
-            users.setdefault(b, []).append(i)
-    changed = []
-    for key, elements in leaves:
-        if absorb(found.setdefault(key, set()), elements):
-            changed.append(key)
-    todo = {i for i, (_, body) in enumerate(edges) if not body} | {i for k in changed for i in users.get(k, ())}
-    while todo:
-        i = todo.pop()
-        head, body = edges[i]
-        if all(found.get(b) for b in body):
-            grew = False
-            for combo in product(*(tuple(found[b]) for b in body)):
-                grew |= absorb(found.setdefault(head, set()), frozenset().union(*combo))
-                if len(found[head]) > limit:
-                    raise RuntimeError(f"more than {limit} minimal supports of {head}")
-            if grew:
-                todo |= set(users.get(head, ()))
-    return found.get(goal, set())
-
-
-def enumerate_supports(seeds: DataFrame, reached: DataFrame | None, edges: DataFrame | None, leaves: DataFrame, limit: int = MAX_SUPPORTS) -> DataFrame:
-    """(gid, support) for every minimal support of each seed (gid, head).
-
-    ``leaves``: (head, elements array<string>) of the input facts' tuples.
+def _as_set(elements: Column) -> Column:
+    return F.array_sort(F.array_distinct(elements))
+
+
+def _within(small: str, large: str) -> Column:
+    return F.size(F.array_except(small, large)) == 0
+
+
+def minimal(rows: DataFrame) -> DataFrame:
+    """The rows (head, support) of which no other support of the same head is a part."""
+    other = rows.select(F.col("head").alias("h"), F.col("support").alias("s"))
+    return rows.join(other, (F.col("head") == F.col("h")) & (F.size("s") < F.size("support")) & _within("s", "support"), "left_anti")
+
+
+def _steps(edges: DataFrame, size: int, new: DataFrame, known: DataFrame) -> list[DataFrame]:
+    """(head, support) by every edge of ``size`` body tuples, at least one of which has a new support."""
+    some, out = edges.where(F.size("body") == size).select("head", *(F.col("body")[i].alias(f"b{i}") for i in range(size))), []
+    for i in range(size):
+        df = some
+        for j in range(size):
+            source = new if j == i else known
+            df = df.join(source.select(F.col("head").alias(f"h{j}"), F.col("support").alias(f"s{j}")), F.col(f"b{j}") == F.col(f"h{j}"))
+        out.append(df.select("head", _as_set(F.concat(*(f"s{j}" for j in range(size)))).alias("support")))
+    return out
+
+
+def families(store: Store, edges: DataFrame | None, leaves: DataFrame, one: bool = False, limit: int | None = None) -> DataFrame:
+    """(head, support): all minimal supports of every tuple, or with ``one`` the smallest of those found first.
+
+    ``leaves``: (head, elements array<string>) of the input facts' tuples.  The number of minimal supports can be
+    exponential; a ``limit`` makes more than so many of one tuple an error, and ``one`` has at most one row a tuple.
     """
-    nodes = seeds.select("gid", "head").distinct() if reached is None else reached.distinct()
-    none = F.lit(None).cast("array<string>")
-    rows = nodes.join(leaves.select(F.col("head").alias("at"), "elements"), F.col("head") == F.col("at")).select("gid", "head", none.alias("body"), "elements", F.lit(False).alias("goal"))
+
+    def chosen(rows: DataFrame) -> DataFrame:
+        if not one:
+            return minimal(rows.distinct())
+        least = F.min(F.struct(F.size("support").alias("n"), "support")).alias("m")
+        return rows.groupBy("head").agg(least).select("head", "m.support")
+
+    found = leaves.select("head", _as_set(F.col("elements")).alias("support"))
+    sizes: list[int] = []
     if edges is not None:
-        steps = nodes.join(edges.select(F.col("head").alias("at"), "body"), F.col("head") == F.col("at")).select("gid", "head", "body", none.alias("elements"), F.lit(False).alias("goal"))
-        rows = rows.unionByName(steps)
-    rows = rows.unionByName(seeds.select("gid", "head", none.alias("body"), none.alias("elements"), F.lit(True).alias("goal")).distinct())
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        goal = pdf["head"][pdf["goal"]].iloc[0]
-        here = pdf[~pdf["goal"]]
-        edge = [(h, tuple(b)) for h, b in zip(here["head"], here["body"], strict=True) if b is not None]
-        leaf = [(h, frozenset(e)) for h, e in zip(here["head"], here["elements"], strict=True) if e is not None]
-        found = sorted(sorted(s) for s in supports(goal, edge, leaf, limit))
-        return pd.DataFrame({"gid": [pdf["gid"].iloc[0]] * len(found), "support": found})
-
-    return rows.groupBy("gid").applyInPandas(run, "gid string, support array<string>")
+        sizes = sorted(r[0] for r in edges.select(F.size("body")).distinct().collect())  # body sizes: as many as the rules have
+        found = found.unionByName(edges.where(F.size("body") == 0).select("head", F.array().cast("array<string>").alias("support")))
+    path, new = store.write(chosen(found), "supports")
+    paths, like = [path], new
+    while any(sizes) and not new.isEmpty():
+        known = store.read(paths, like)
+        steps = reduce(DataFrame.unionByName, [s for size in sizes if size for s in _steps(edges, size, new, known)])
+        seen = known.select(F.col("head").alias("h"), F.col("support").alias("s"))
+        covered = (F.col("head") == F.col("h")) if one else (F.col("head") == F.col("h")) & _within("s", "support")
+        path, new = store.write(chosen(steps.distinct().join(seen, covered, "left_anti")), "supports")
+        paths.append(path)
+        if limit is not None and (worst := store.read(paths, like).groupBy("head").count().where(F.col("count") > limit).first()):
+            raise RuntimeError(f"more than {limit} minimal supports of {worst['head']}")
+    return chosen(store.read(paths, like))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surmise.functions.delta import ddmin, ddmin_all
-from surmise.operators.tuples import substitute_values
+from surmise.operators.tuples import contained, divide, holds_number, merge_by_key, same_rows, substitute_values
 from surmise.parser import parse_text
+from surmise.plans.files import run_program
 from surmise.plans.fixpoint import evaluate
 from surmise.plans.symbolic import SymbolicPlan, is_sentinel, repair, symex
 from surmise.plans.views import VIEWS, with_views
@@ -128,22 +129,22 @@ def sym_meta_tc(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sym_match", with_views(["region_name"], "SELECT 'to ' || x AS target, x AS r, alpha FROM region_name, dom WHERE alpha = '?' OR alpha = x").replace(") SELECT 'to '", "), dom AS (SELECT x AS alpha FROM region_name UNION SELECT '?') SELECT 'to '"))
 def sym_match(spark: SparkSession, d: str) -> DataFrame:
-    """An unknown region among the outputs is matched with every region asked for."""
+    """An unknown region among the outputs is matched with every region asked for; its domain are the values that a join can bring it."""
     regions = VIEWS["region_name"](spark, d)
-    plan = SymbolicPlan(spark, parse_text("q(x) :- known(x).").rules, [Fact(Literal("known", (ALPHA,)))], {"known": regions.limit(0)})
+    rules = parse_text("q(x) :- known(x). listed(x) :- known(x), region_name(x).").rules
+    plan = SymbolicPlan(spark, rules, [Fact(Literal("known", (ALPHA,)))], {"region_name": regions})
     asked = regions.select(F.concat(F.lit("to "), "v0").alias("target"), F.col("v0").alias("t0"))
-    plan.domains.values["alpha"] = plan.domains.values["alpha"].unionByName(regions).distinct()
     found = plan.evaluate(["q"])["q"]
     return plan.matches(found, "q", asked).select("target", F.col("t0").alias("r"), F.col("v1").alias("alpha")).select("target", "r", _shown("alpha"))
 
 
-def _ways(spark: SparkSession, rules, relations: dict[str, DataFrame], asked: DataFrame) -> DataFrame:
-    """(t..., fact): the signed facts of each minimal support of each asked tuple of q."""
+def _ways(spark: SparkSession, rules, relations: dict[str, DataFrame], asked: DataFrame, one: bool = False) -> DataFrame:
+    """(t..., fact): the signed facts of each minimal support, or of one support, of each asked tuple of q."""
     plan = SymbolicPlan(spark, rules, [], relations)
     columns = [f"t{i}" for i in range(len(asked.columns))]
     named = asked.toDF(*columns)
     targets = named.select(F.to_json(F.array(*[F.col(c).cast("string") for c in columns])).alias("target"), *columns)
-    ways = plan.ways({"q": targets})
+    ways = plan.ways({"q": targets}, one=one)
     facts = ways.select(F.col("target").alias("of"), F.explode(F.transform(F.filter("support", lambda e: e.startswith("s:")), lambda e: F.substring(e, 3, 1 << 30))).alias("fact"))
     return facts.join(targets, F.col("of") == F.col("target")).select(*columns, "fact").distinct()
 
@@ -158,6 +159,14 @@ def why_join(spark: SparkSession, d: str) -> DataFrame:
     return _ways(spark, BULK_RULES, views | {"bulk": views["bulk"].withColumn("sign", F.lit(True))}, asked).toDF("r", "b", "fact")
 
 
+@query("why_one", with_views(["nation_in", "bulk"], f"SELECT r, b, min(fact) AS fact FROM ({_WHY}) GROUP BY r, b"))
+def why_one(spark: SparkSession, d: str) -> DataFrame:
+    """One support of each tuple, however many there are: here the first of the smallest."""
+    views = _views(spark, d, ["nation_in", "bulk"])
+    asked = evaluate(spark, BULK_RULES, views, None, ["q"])["q"]
+    return _ways(spark, BULK_RULES, views | {"bulk": views["bulk"].withColumn("sign", F.lit(True))}, asked, one=True).toDF("r", "b", "fact")
+
+
 @query("sign_filter", with_views(["nation_in", "bulk"], _WHY + " WHERE bulk.y LIKE '%1'"))
 def sign_filter(spark: SparkSession, d: str) -> DataFrame:
     """Only some facts are uncertain: supports name these alone."""
@@ -193,12 +202,19 @@ def repair_demo(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(s, str(v)) for s, v in model[0].items()] if model else [], "symbol string, value string")
 
 
-@query("ddmin_demo", "SELECT * FROM (VALUES ('all', '[1, 2]'), ('all', '[2, 3]'), ('all', '[3, 4]'), ('one', '[1, 3, 5]')) AS t(kind, items)")
+@query("ddmin_demo", with_views(["nation_in", "bulk"], """SELECT kind, 'bulk("' || bulk.x || '", "' || bulk.y || '").' AS fact FROM bulk JOIN nation_in ON nation_in.x = bulk.x CROSS JOIN (VALUES ('all', 1), ('any', 2)) AS k(kind, n) WHERE nation_in.y = 'ASIA' AND bulk.y LIKE '%1'"""))
 def ddmin_demo(spark: SparkSession, d: str) -> DataFrame:
-    pairs = [{1, 2}, {2, 3}, {3, 4}]
-    rows = [("all", str(sorted(x))) for x in ddmin_all(lambda s: any(p <= set(s) for p in pairs), [1, 2, 3, 4, 5])]
-    rows.append(("one", str(ddmin(lambda s: {1, 3, 5} <= set(s), [1, 2, 3, 4, 5]))))
-    return spark.createDataFrame(rows, "kind string, items string")
+    """Which sales trip a test?  One that every suspect trips (all minimal sets), and one that they trip together (one set).
+
+    The sales are pairs of a nation and a brand, so their number is bounded by those, not by the tables.
+    """
+    df = VIEWS["bulk"](spark, d)
+    suspects = df.join(VIEWS["nation_in"](spark, d).where("v1 = 'ASIA'").select(F.col("v0").alias("n")), F.col("v0") == F.col("n"), "left_semi").where("v1 LIKE '%1'")
+    printed = lambda x: [r[0] for r in x.select(fact_text("bulk", types_of(df), ["v0", "v1"])).collect()]
+    items, wanted = sorted(printed(df)), set(printed(suspects))
+    rows = [("any", x) for found in ddmin_all(lambda part: bool(wanted & set(part)), items) for x in found]
+    rows += [("all", x) for x in ddmin(lambda part: wanted <= set(part), items) or []]
+    return spark.createDataFrame(rows, "kind string, fact string")
 
 
 @query("substitute", with_views(["nation_in"], "SELECT DISTINCT CASE WHEN x = 'CHINA' THEN 'alpha' ELSE x END AS x, CASE WHEN y = 'CHINA' THEN 'alpha' ELSE y END AS y FROM nation_in"))
@@ -206,14 +222,82 @@ def substitute_demo(spark: SparkSession, d: str) -> DataFrame:
     return substitute_values(VIEWS["nation_in"](spark, d), {"CHINA": "alpha"}).distinct().toDF("x", "y")
 
 
-@query("tsv_roundtrip", with_views(["part_of"], "SELECT x, y FROM part_of"))
+_ODD = """SELECT x || chr(9) || '"' || chr(10) || '\\n\\' || y AS x, CASE WHEN y = 'ASIA' THEN '' ELSE y END AS y FROM part_of"""
+
+
+@query("tsv_roundtrip", with_views(["part_of"], _ODD))
 def tsv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with tabs, line ends, quotes and backslashes, and empty ones, written to files and read back."""
     folder = Store(spark).root
-    df = VIEWS["part_of"](spark, d)
+    df = VIEWS["part_of"](spark, d).select(F.concat("v0", F.lit('\t"\n\\n\\'), "v1").alias("v0"), F.when(F.col("v1") == "ASIA", "").otherwise(F.col("v1")).alias("v1"))
     write_relations(folder, {"part_of": df})
     return load_relations(spark, folder, {"part_of": types_of(df)})["part_of"].toDF("x", "y")
 
 
+@query("empty_text", with_views(["region_name"], "SELECT CASE WHEN x = 'ASIA' THEN '' ELSE x END AS x FROM region_name"))
+def empty_text(spark: SparkSession, d: str) -> DataFrame:
+    """In a relation of one text column, an empty line is a tuple."""
+    folder = Store(spark).root
+    df = VIEWS["region_name"](spark, d).select(F.when(F.col("v0") == "ASIA", "").otherwise(F.col("v0")).alias("v0"))
+    write_relations(folder, {"r": df})
+    return load_relations(spark, folder, {"r": types_of(df)})["r"].toDF("x")
+
+
+PROGRAM = """
+// The turns that can be reached within a conversation.
+.decl next_turn(c: number, x: number, y: number)
+.decl later(c: number, x: number, y: number)
+.input next_turn
+.output later
+next_turn(-1, 0, 1). next_turn(-1, 1, 2).
+later(c, x, y) :- next_turn(c, x, y).
+later(c, x, z) :- next_turn(c, x, y), later(c, y, z).  // linear
+"""
+
+
+@query("program_file", with_views(["next_turn"], "SELECT c, x, y FROM t", "e AS (SELECT c, x, y FROM next_turn UNION SELECT -1, 0, 1 UNION SELECT -1, 1, 2), " + _CHAIN.replace("next_turn", "e")))
+def program_file(spark: SparkSession, d: str) -> DataFrame:
+    """A program's text over a folder of facts, as its directives say; its result is written and read back."""
+    root, program = Store(spark).root, parse_text(PROGRAM)
+    write_relations(f"{root}/facts", {"next_turn": VIEWS["next_turn"](spark, d)})
+    run_program(spark, program, f"{root}/facts", f"{root}/out")
+    return load_relations(spark, f"{root}/out", program.declarations)["later"].toDF("c", "x", "y")
+
+
+@query("merge_by_key", with_views(["bulk"], "SELECT x AS n, string_agg(y, ',' ORDER BY y) AS brands FROM bulk GROUP BY x"))
+def merged_by_key(spark: SparkSession, d: str) -> DataFrame:
+    found = merge_by_key(VIEWS["bulk"](spark, d).toDF("n", "b"), "n", "b")
+    return found.select("n", F.array_join("values", ",").alias("brands"))
+
+
+_LINES = "SELECT {0} AS k FROM lineitem WHERE l_quantity >= {1}"
+
+
+@query("divide_multiset", f"SELECT 'both' AS part, k, count(*) AS n FROM ({_LINES.format('l_suppkey', 45)} INTERSECT ALL {_LINES.format('l_suppkey', 48)}) GROUP BY k UNION ALL SELECT 'rest', k, count(*) FROM ({_LINES.format('l_suppkey', 45)} EXCEPT ALL {_LINES.format('l_suppkey', 48)}) GROUP BY k")
+def divided(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a table that another one accounts for, and the others, as multisets."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    of = lambda least: lines.where(F.col("l_quantity") >= least).select(F.col("l_suppkey").alias("k"))
+    both, rest = divide(of(45), of(48))
+    counted = lambda df, name: df.groupBy("k").agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "k", "n")
+    return counted(both, "both").unionByName(counted(rest, "rest"))
+
+
+@query("relation_tests", with_views(["bulk", "returned"], "SELECT (SELECT count(*) FROM (SELECT * FROM bulk INTERSECT SELECT * FROM returned) i) = (SELECT count(*) FROM bulk) AS within, (SELECT count(*) FROM bulk) = (SELECT count(*) FROM (SELECT * FROM bulk UNION SELECT * FROM returned) u) AND (SELECT count(*) FROM returned) = (SELECT count(*) FROM bulk) AS same"))
+def relation_tests(spark: SparkSession, d: str) -> DataFrame:
+    """Whether one relation is within another, and whether both are equal."""
+    a, b = VIEWS["bulk"](spark, d), VIEWS["returned"](spark, d)
+    return spark.createDataFrame([(contained(a, b), same_rows(a, b))], "within boolean, same boolean")
+
+
+@query("cell_kinds", "SELECT x, try_cast(x AS BIGINT) IS NOT NULL AS number FROM (SELECT DISTINCT p_size::VARCHAR x FROM part UNION SELECT DISTINCT p_brand FROM part)")
+def cell_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Which texts of a relation are whole numbers."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    texts = part.select(F.col("p_size").cast("string").alias("x")).unionByName(part.select(F.col("p_brand").alias("x"))).distinct()
+    return texts.select("x", holds_number(F.col("x")).alias("number"))
+
+
 @query("pretty_facts", with_views(["bulk"], """SELECT 'bulk("' || x || '", "' || y || '").' AS fact FROM bulk"""))
 def pretty_facts(spark: SparkSession, d: str) -> DataFrame:
     df = VIEWS["bulk"](spark, d)

@@ -2,8 +2,8 @@
 
 Within a recursive stratum every round joins only what the last round added: for each recursive literal of
 each rule, that literal reads the last additions and the others read everything so far.  What a round adds is
-written as a table of its own; a relation is the union of its tables, so nothing is ever rewritten and the
-lineage of a round never holds the rounds before it.
+written as a table of its own; a relation is the union of its tables, which are merged when they are many, and
+the lineage of a round never holds the rounds before it.  A relation with several readers is stored as well.
 """
 
 from __future__ import annotations
@@ -20,6 +20,10 @@ from surmise.sources.store import Store
 from surmise.terms import INTRINSIC, Fact, Rule
 
 
+#: A relation is stored in so many tables at most; then all but the newest are merged.
+MOST_TABLES = 8
+
+
 def strata(rules: Sequence[Rule]) -> list[list[str]]:
     """Derived relations by strongly connected component, each after those it depends on (Tarjan)."""
     heads = list(dict.fromkeys(r.head.name for r in rules))
@@ -109,6 +113,10 @@ class Fixpoint:
 
     def _once(self, name: str, rules: Sequence[Rule]) -> None:
         self.relations[name] = self._base(name, rules)
+        if sum(x.name == name for r in self.rules for x in r.body) > 1:
+            # several readers: computed once
+            _, self.relations[name] = self.store.write(self.relations[name], name)
+            self.stored.add(name)
 
     def _iterate(self, part: Sequence[str], rules: Sequence[Rule], recursive: Sequence[Rule]) -> None:
         plain = [r for r in rules if r not in recursive]
@@ -145,6 +153,12 @@ class Fixpoint:
                         paths[name].append(path)
                         added[name] = df
             for name, df in added.items():
+                if len(paths[name]) > MOST_TABLES:
+                    # the tables of earlier rounds become one; the next round still reads the newest by itself
+                    old = paths[name][:-1]
+                    whole, _ = self.store.write(self.store.read(old, df), name)
+                    paths[name] = [whole, paths[name][-1]]
+                    self.store.drop(old)
                 self.relations[name] = self.store.read(paths[name], df)
             delta = added
 

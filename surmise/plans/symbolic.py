@@ -19,13 +19,11 @@ from pyspark.sql import functions as F
 
 from surmise import check
 from surmise.functions import formula as fm
-from surmise.operators.provenance import MAX_SUPPORTS, backward_slice, derivations, enumerate_supports, tuple_key
+from surmise.operators.provenance import derivations, families, reached, tuple_key
 from surmise.plans.fixpoint import Fixpoint
-from surmise.sources.facts import SPARK_TYPES, fact_text, schema_of, types_of
+from surmise.sources.facts import SPARK_TYPES, fact_text, guarded, schema_of, types_of
 from surmise.sources.store import Store
-from surmise.terms import INTRINSIC, NUM, RESERVED, SYM, Fact, Literal, Number, Program, Rule, String, Symbol, Variable, symbols_of, type_of
-
-LOWEST, POOL = -(2**63), 1000
+from surmise.terms import INTRINSIC, LOWEST, NUM, POOL, RESERVED, SYM, Fact, Literal, Number, Program, Rule, String, Symbol, Variable, substitute, symbols_of, type_of
 
 
 def sentinel(index: int, kind: str) -> str | int:
@@ -149,14 +147,31 @@ class SymbolicPlan:
         if any(not lit.positive for r in self.rules for lit in r.body):
             raise ValueError("symbolic execution needs rules without negation")
         check.check_program(self.rules, self.facts)
-        check.check_reserved(a.value for f in self.facts for a in f.args if isinstance(a, String))
+        check.check_reserved(a.value for f in self.facts for a in f.args if isinstance(a, (String, Number)))
         ground = {n: df.drop("sign") for n, df in self.relations.items()}
         self.types = check.infer_types(self.rules, self.facts, dict(known or {}) | {n: types_of(df) for n, df in ground.items()})
         self.symbols = symbols_of(self.facts)
         self.number = {s.name: i for i, s in enumerate(self.symbols)}
+        if self.symbols:  # a reserved value in the data would pass for a symbol
+            self.relations = {n: guarded(df) for n, df in self.relations.items()}
+            ground = {n: df.drop("sign") for n, df in self.relations.items()}
         self.domains = Domains(spark, self.rules, self.facts, ground, self.symbols)
         self.reach = self._reach()
         self.store = Store(spark)
+        self._found: dict[tuple, dict[str, DataFrame]] = {}
+        self._stores = [self.store]
+
+    @property
+    def transformed(self) -> Program:
+        """The program that is evaluated: rules and declarations with binding columns; its text explains a plan."""
+        names = {self.binding(s.name): Variable(f"is_{s.name}") for s in self.symbols}
+        return substitute(Program(self.meta_types, tuple(sorted({*self.relations, *(f.name for f in self.facts)})), rules=tuple(self.meta_rules)), names)
+
+    def close(self) -> None:
+        """Delete the tables that this plan has written: for when its results have been read."""
+        for store in self._stores:
+            store.clear()
+        self._found = {}
 
     def _reach(self) -> dict[str, tuple[str, ...]]:
         """relation -> names of the symbols that can have had a part in its tuples, in order."""
@@ -234,9 +249,18 @@ class SymbolicPlan:
         return out
 
     def evaluate(self, wanted: Sequence[str]) -> dict[str, DataFrame]:
+        """All relations that ``wanted`` depends on; evaluated once, however often they are asked for."""
+        key = tuple(sorted(wanted))
+        if key not in self._found:
+            self._found[key] = self._evaluated(key)
+        return self._found[key]
+
+    def _evaluated(self, wanted: Sequence[str]) -> dict[str, DataFrame]:
         given = {n: df.drop("fid", "sign", "used").distinct() for n, df in self.inputs.items()}
         given |= {self.domain_name(s): df for s, df in self.domains.values.items()}
-        found = Fixpoint(self.spark, self.meta_rules, given, self.meta_types).run(wanted)
+        fixpoint = Fixpoint(self.spark, self.meta_rules, given, self.meta_types)
+        self._stores.append(fixpoint.store)
+        found = fixpoint.run(wanted)
         for n in self.types:
             found.setdefault(n, self.spark.createDataFrame([], schema_of(self.meta_types[n])))
         return found
@@ -266,8 +290,8 @@ class SymbolicPlan:
             out[name] = F.broadcast(self.spark.createDataFrame(rows, ddl))
         return out
 
-    def ways(self, targets: Mapping[str, DataFrame], limit: int = MAX_SUPPORTS) -> DataFrame:
-        """(target, bindings, matched, support): one row for every minimal support of every match.
+    def ways(self, targets: Mapping[str, DataFrame], limit: int | None = None, one: bool = False) -> DataFrame:
+        """(target, bindings, matched, support): one row for every minimal support of every match, or one for each match.
 
         ``targets``: for each relation of interest a frame (target, t0, t1, ...); target is any text.
         """
@@ -282,7 +306,7 @@ class SymbolicPlan:
             pairs = [F.struct(F.lit(s).alias("k"), c.cast("string").alias("v")) for s, c in zip(self.reach[name], columns[n:], strict=True)]
             bindings = F.array(*pairs).cast("array<struct<k: string, v: string>>")
             bound = [F.when(is_sentinel(columns[i], t), F.struct(columns[i].cast("string").alias("k"), F.col(f"t{i}").cast("string").alias("v"))) for i, t in enumerate(self.types[name])]
-            frames.append(hit.select("target", F.concat_ws("|", "target", key).alias("gid"), key.alias("head"), bindings.alias("bindings"), F.array_distinct(F.array_compact(F.array(*bound))).cast("array<struct<k: string, v: string>>").alias("matched")))
+            frames.append(hit.select("target", key.alias("head"), bindings.alias("bindings"), F.array_distinct(F.array_compact(F.array(*bound))).cast("array<struct<k: string, v: string>>").alias("matched")))
         _, seeds = self.store.write(reduce(DataFrame.unionByName, frames).distinct(), "seeds")
         leaves = None
         for name, df in self.inputs.items():
@@ -298,12 +322,14 @@ class SymbolicPlan:
             todo = {x.name for r in self.meta_rules if r.head.name in need for x in r.body} - need
         domain_names = {self.domain_name(s.name) for s in self.symbols}
         edges = derivations([r for r in self.meta_rules if r.head.name in need], found, domain_names)
-        reached = None
+        nodes = seeds.select("head").distinct()
         if edges is not None:
             _, edges = self.store.write(edges, "edges")
-            reached = backward_slice(self.store, seeds, edges)
-        got = enumerate_supports(seeds, reached, edges, leaves, limit).withColumnRenamed("gid", "g")
-        return seeds.join(got, F.col("gid") == F.col("g")).select("target", "bindings", "matched", "support")
+            nodes = reached(self.store, seeds, edges)
+            _, edges = self.store.write(edges.join(nodes, "head", "left_semi"), "edges")
+        _, leaves = self.store.write(leaves.join(nodes, "head", "left_semi"), "leaves")
+        got = families(self.store, edges, leaves, one, limit).withColumnRenamed("head", "h")
+        return seeds.join(got, F.col("head") == F.col("h")).select("target", "bindings", "matched", "support")
 
     def condition_of(self, row: Mapping) -> Condition:
         """A support in words: see the module's text on reserved values."""
@@ -345,21 +371,38 @@ def _as_parts(rules_or_program: Program | Sequence[Rule], facts: Iterable[Fact],
     return list(rules_or_program), list(facts), None
 
 
-def symex(spark: SparkSession, rules_or_program: Program | Sequence[Rule], facts: Iterable[Fact], targets: Iterable[Fact], relations: Mapping[str, DataFrame] | None = None, include_inline_facts: bool = True, limit: int = MAX_SUPPORTS) -> dict[Fact, OutputCondition]:
-    """The condition of each fact of interest; facts that can't be derived at all are absent."""
+def symex(
+    spark: SparkSession, rules_or_program: Program | Sequence[Rule] = (), facts: Iterable[Fact] = (), targets: Iterable[Fact] = (), relations: Mapping[str, DataFrame] | None = None,
+    include_inline_facts: bool = True, limit: int | None = None, one: bool = False, plan: SymbolicPlan | None = None,
+) -> dict[Fact, OutputCondition]:
+    """The condition of each fact of interest; facts that can't be derived at all are absent.
+
+    With ``one``, one way for each match instead of all.  A ``plan`` (rules, facts and relations are then its own)
+    keeps what it has evaluated for further calls, until its caller closes it.
+    """
     targets = check.unique_facts(targets)
     check.check_targets(targets)
-    rules, facts, known = _as_parts(rules_or_program, facts, include_inline_facts)
-    plan = SymbolicPlan(spark, rules, facts, relations, known)
+    own = plan is None
+    if own:
+        rules, facts, known = _as_parts(rules_or_program, facts, include_inline_facts)
+        plan = SymbolicPlan(spark, rules, facts, relations, known)
     for t in targets:
         if t.name not in plan.types or tuple(map(type_of, t.args)) != plan.types[t.name]:
             raise TypeError(f"{t} doesn't fit the relation {t.name}{plan.types.get(t.name, ' (unknown)')}")
     out: dict[str, set[Condition]] = {}
-    for row in plan.ways(plan.listed(targets), limit).collect() if targets else ():
+    for row in plan.ways(plan.listed(targets), limit, one).toLocalIterator() if targets else ():
         out.setdefault(row["target"], set()).add(plan.condition_of(row))
+    if own:
+        plan.close()
     return {t: OutputCondition(tuple(sorted(out[str(t)], key=lambda c: str(c.to_formula())))) for t in targets if str(t) in out}
 
 
+def one_support(spark: SparkSession, rules_or_program: Program | Sequence[Rule], facts: Iterable[Fact], targets: Iterable[Fact], relations: Mapping[str, DataFrame] | None = None) -> dict[Fact, Condition]:
+    """One way to derive each fact of interest that can be derived: small, though not always the smallest."""
+    found = symex(spark, rules_or_program, facts, targets, relations, one=True)
+    return {t: min(c.sub_conditions, key=lambda x: (len(x.dep_facts) + len(x.symbolic_assigns), str(x.to_formula()))) for t, c in found.items()}
+
+
 def symex_frame(spark: SparkSession, *args, **kwargs) -> DataFrame:
     """``symex`` as a DataFrame (target, condition), both printed."""
     rows = [(str(t), str(c)) for t, c in symex(spark, *args, **kwargs).items()]

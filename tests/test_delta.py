@@ -6,6 +6,7 @@ import pytest
 
 from surmise.api import all_minimal, ddmin, ddmin_all
 
+# Known minimal sets, inputs, the size of 10,019 items and the seed 10 (also below) are goldens, and must stay as they are.
 PAIRS = [{1, 2}, {2, 3}, {3, 4}]
 SETS = [{1, 30, 5, 70, 900, 1100, 5300, 7500, 9700}, {2, 5}, {4}]
 
@@ -39,6 +40,15 @@ def test_all_of_a_thousand():
     assert as_sets(ddmin_all(any_of(sets), list(range(1000)))) == as_sets(sets)
 
 
+def test_one_is_minimal_wherever_it_lies():
+    """Own cases: wanted items at both ends, neighbours, all of them, and a threshold that any three pass."""
+    for size in (1, 2, 3, 8, 31):
+        items = [f"i{k}" for k in range(size)]
+        for wanted in ({items[0], items[-1]}, set(items), set(items[size // 2 :][:2])):
+            assert set(ddmin(lambda part, w=wanted: w <= set(part), items)) == wanted
+    assert len(ddmin(lambda part: len(part) >= 3, list(range(20)))) == 3
+
+
 def test_nothing_passes():
     assert ddmin(lambda _: False, [1]) is None and ddmin_all(lambda _: False, [1]) == []
     with pytest.raises(ValueError):

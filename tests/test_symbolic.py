@@ -5,7 +5,7 @@ from itertools import product
 
 import pytest
 
-from surmise.api import Literal, Number, Rule, String, SymbolicConstant, SymbolicSign, Variable, evaluate, make_fact, parse_text, repair, symex, to_frame
+from surmise.api import Fact, Literal, Number, Rule, String, SymbolicConstant, SymbolicSign, Variable, evaluate, make_fact, one_support, parse_text, repair, symex, to_frame
 from surmise.functions import formula as fm
 from surmise.plans.symbolic import SymbolicPlan
 from surmise.terms import Symbol
@@ -178,3 +178,44 @@ def test_formulas():
     assert fm.conjunction([]) == fm.TRUE and fm.disjunction([]) == fm.FALSE and fm.negation(fm.negation(p)) == p
     assert not fm.equivalent(p, q) and fm.solve(fm.conjunction([p, fm.negation(p)])) is None
     assert fm.equivalent(fm.Eq(ALPHA, Symbol("beta")), fm.Eq(Symbol("beta"), ALPHA))
+
+
+def test_reserved_values_in_frames_fail(spark):
+    """A cell that looks like a symbol must not be taken for one: numbers and texts, in frames and facts."""
+    rules = parse_text("t(x, z) :- r(x, y), s(y, z).").rules
+    for bad, beta in ((["surmise_symbolic_0"], ALPHA), ([-(2**63) + 1], SymbolicConstant("n", "number"))):
+        frame = spark.createDataFrame([(bad[0], "c")], f"v0 {'string' if beta is ALPHA else 'long'}, v1 string")
+        with pytest.raises(Exception, match="reserved"):
+            symex(spark, rules, [f("r", "a", beta)], [f("t", "a", "c")], {"s": frame})
+    with pytest.raises(ValueError, match="reserved"):
+        symex(spark, rules, [f("r", "a", -(2**63) + 2), f("s", -(2**63) + 2, "c")], [f("t", "a", "c")])
+
+
+def test_plans_are_evaluated_once_and_explained(spark):
+    plan = SymbolicPlan(spark, JOIN, [f("r", ALPHA, "b"), *R, SymbolicSign(S)])
+    first = symex(spark, targets=[f("t", "a", "c")], plan=plan)
+    held = plan.evaluate(["t"])
+    second = symex(spark, targets=[f("t", "e", "c")], plan=plan)
+    assert plan.evaluate(["t"]) is held
+    assert (str(first[f("t", "a", "c")]), str(second[f("t", "e", "c")])) == ('alpha == "a"', 'alpha == "e"')
+    text = str(plan.transformed)
+    assert "t(x, z, is_alpha) :- r(x, y, is_alpha), s(y, z)." in text and parse_text(text).rules
+    plan.close()
+
+
+def test_one_support(spark):
+    facts = [SymbolicSign(f("edge", a, b)) for a, b in (("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("b", "d"), ("x", "a"), ("d", "a"))]
+    targets = [f("reachable", "a", "d"), f("reachable", "a", "c"), f("reachable", "d", "x")]
+    one = one_support(spark, REACH, facts, targets)
+    assert set(one) == set(targets[:2]) and [str(p) for p in one[targets[1]].dep_facts] == ['edge("a", "c").']
+    every = symex(spark, REACH, facts, targets[:2])
+    assert all({p.fact for p in one[t].dep_facts} in [{p.fact for p in c.dep_facts} for c in every[t].sub_conditions] for t in targets[:2])
+    assert len(every[targets[0]].sub_conditions) == 3
+    with pytest.raises(RuntimeError, match="more than 1"):
+        symex(spark, REACH, facts, targets[:1], limit=1)
+
+
+def test_builders_take_names():
+    assert Fact("r", [String("a"), ALPHA]) == make_fact("r", [String("a"), ALPHA])
+    assert Literal("r", [String("a")], sign=False) == Literal("r", (String("a"),), False)
+    assert SymbolicConstant().name != SymbolicConstant().name
