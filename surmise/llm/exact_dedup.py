@@ -163,7 +163,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", memtable_
     # every row is in a run of its own batch, so the texts needn't be read again
     seen = may_hold(first.runs.select("digest", F.col("keep_id").alias("doc_id")), "digest", bitmaps, bits)
     alone = seen.where("NOT may_hold").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("copies"), "digest")
-    maybe = salted(seen.where("may_hold")).join(on_every_salt(hits), ["digest", "salt"], "left")
+    maybe = salted(seen.where("may_hold")).join(on_every_salt(hits).hint("merge"), ["digest", "salt"], "left")
     found = maybe.select("doc_id", F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("copies", F.lit(1)).alias("copies"), "digest")
     if not clashing.isEmpty():
         # two texts under one digest: these few rows get the answer of their own bytes
