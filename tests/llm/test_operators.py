@@ -1,13 +1,15 @@
 """The training-data operators against brute force on small fixtures: nulls, empties, long texts, ties, clashes."""
 
 import hashlib
+import json
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 
-from surmise.llm import _shared, bpe, chat, exact_dedup, lang_id, licenses, ngram_join, packing, quality_fm, quality_rules, url_filter, url_labels
+from surmise.llm import _shared, bpe, chat, exact_dedup, lang_id, licenses, ngram_join, packing, quality_fm, quality_rules, registry, url_filter, url_labels
 from surmise.llm.registry import URL_RULES, byte_bpe_path, url_model
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -93,6 +95,20 @@ def test_fm_identity():
     assert model.score(used, values, stats) == pytest.approx(1 / (1 + np.exp(-(model.bias + model.weights @ x + pairs))))
 
 
+def test_features_equal_brute_force():
+    text = "Ab cd cd!\n\nAb 1 | é\nAb 1 | é"
+    used, values, stats = quality_fm.features(text, None)
+    ws, raw = text.encode().split(), text.encode()
+    counts = {}
+    for w in ws:
+        k = quality_fm.xxhash.xxh3_64_intdigest(w) % quality_fm.BUCKETS
+        counts[k] = counts.get(k, 0) + 1
+    assert dict(zip(used.tolist(), values.tolist(), strict=True)) == pytest.approx({k: (n / len(ws)) ** 0.5 for k, n in counts.items()})
+    letters = sum(chr(c).isascii() and chr(c).isalpha() for c in raw)
+    expected = [np.log1p(len(ws)), len(raw) / len(ws), 3 / letters, 2 / len(raw), 2 / len(ws), 1 / len(ws), 2 / len(ws), 4 / len(raw), np.log1p(3), 2 / 3, len(set(ws)) / len(ws), 0, 0, 1]
+    assert stats.tolist() == pytest.approx(expected)
+
+
 def test_quality_learns_and_scores_every_row(spark, docs, none):
     good, bad = [words(60) for _ in range(60)], ["BUY!! " * 30 + words(5) for _ in range(60)]
     table = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(good + bad)], "doc_id long, text string, n_chars long")
@@ -156,6 +172,21 @@ def test_bpe_equals_the_library(library, kind):
     assert own.encode(None) == b""
 
 
+def test_bpe_follows_the_files_settings(tmp_path, library):
+    """A space in front is added if the file says so; what isn't supported is refused, not ignored."""
+    spec = json.loads(open(byte_bpe_path(), encoding="utf-8").read())
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    path = str(tmp_path / "space.json")
+    json.dump(spec, open(path, "w", encoding="utf-8"))
+    other = tokenizers.Tokenizer.from_file(path)
+    for t in ("hello!", " hello", "a<|endoftext|>b", "", "\nx"):
+        assert np.frombuffer(bpe.ByteBpe(path).encode(t), "<u4").tolist() == other.encode(t, add_special_tokens=False).ids, t
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"end_of_word_suffix": "</w>"}}):
+        json.dump(spec | change, open(path, "w", encoding="utf-8"))
+        with pytest.raises(ValueError, match="isn't supported"):
+            bpe.ByteBpe(path)
+
+
 def test_bpe_tables_are_bounded(library, monkeypatch):
     monkeypatch.setattr(bpe, "TABLE_ENTRIES", 5)
     own = bpe.ByteBpe(byte_bpe_path())
@@ -286,6 +317,20 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(none).count() == 0
 
 
+def test_phrase_places_equal_brute_force(spark):
+    """All base columns of the scan against a plain search, over texts made of the phrases' words."""
+    rng, vocabulary = random.Random(2), ["the", "mit", "license", "MIT", "apache", "Version", "2", "cc", "by", "nc", "é", "the mit license", "CC-BY-NC", "apache license, version 2"]
+    texts = [None, "", *(rng.choice([" ", "-", "\n"]).join(rng.choice(vocabulary) for _ in range(rng.randint(1, 40))) for _ in range(60))]
+    scanned = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep=["doc_id"])
+    got = by_id(scanned.select("doc_id", "n_words", *(c.alias(n) for n, c in licenses.summary(scanned).items())).collect())
+    for i, t in enumerate(texts):
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        at = [(k, label) for phrase, label in licenses.PHRASES.items() for k in range(len(ws)) if ws[k : k + len(phrase.split())] == phrase.split()]
+        starts = [k for k, _ in at]
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word) == (len(ws), len(at), min(starts, default=None), max(starts, default=None))
+        assert got[i].base_labels == ",".join(sorted({x for _, x in at})) and set(got[i].base_labels.split(",")) <= {*got[i].labels.split(","), ""}
+
+
 @pytest.mark.parametrize(
     "text, label, edits",
     [
@@ -433,6 +478,13 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.windows(table.limit(0), byte_bpe_path())).count() == 0
 
 
+def test_control_strings_in_the_registered_query(spark, sf_dir):
+    got = by_id([r.asDict() | {"doc_id": r.conv_id} for r in registry.op9_chat_format(spark, sf_dir).collect()])
+    said = registry.CONTROL_TEXT
+    assert (got[-1]["n_turns"], got[-1]["loss_chars"], got[-1]["loss_sha256"]) == (2, len(said), hashlib.sha256(said.encode()).hexdigest())
+    assert got[-1]["turns_sha256"] == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+
+
 # -- 10: packing
 
 
