@@ -1,8 +1,8 @@
 """A small labelled URL table (1: unwanted site), built from general word lists by rules.
 
 Hosts are compounds of a telling part and a neutral partner; partners, prefixes, suffixes and paths are the same for
-both labels, so only the parts can tell.  No host is taken from the pages that a model judges.  The held-out
-table joins the parts in other ways and with other partners, and has ordinary names that training doesn't have.
+both labels, so only the parts can tell.  No whole host is taken from the pages that a model judges, though parts of theirs are
+among the words.  The held-out table joins the parts in other ways and with other partners, and has ordinary names that training doesn't have.
 """
 
 import random
