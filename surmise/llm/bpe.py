@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from surmise.llm._shared import ship_code, sliced
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-TABLE_ENTRIES, TABLE_CHARS = 300_000, 48
+#: A generation of the table of pieces has so many entries, of other tables fewer; longer texts aren't kept.
+TABLE_ENTRIES, TABLE_CHARS = 250_000, 48
 #: A batch is passed on once it holds so many bytes.
 BATCH_BYTES = 8_000_000
 ID = np.dtype("<u4")
@@ -70,17 +71,21 @@ class _OtherSpace(Exception):
 
 
 class _Table(dict):
-    """Ids (as bytes) of text parts seen before; bounded."""
+    """Ids (as bytes) of text parts seen before, in two generations: a full one becomes the old one, and what is
+    found there moves on to the new one, so that frequent parts stay."""
 
-    def __init__(self, make, prefix: str):
-        self.make, self.prefix = make, prefix
+    def __init__(self, make, prefix: str, entries: int):
+        self.make, self.prefix, self.entries, self.old = make, prefix, entries, {}
 
     def __missing__(self, part: str) -> bytes:
-        if self.prefix and (not part or part[0].isspace()):
-            raise _OtherSpace
-        ids = self.make(self.prefix + part)
+        ids = self.old.get(part)
+        if ids is None:
+            if self.prefix and (not part or part[0].isspace()):
+                raise _OtherSpace
+            ids = self.make(self.prefix + part)
         if len(part) <= TABLE_CHARS:
-            if len(self) >= TABLE_ENTRIES:
+            if len(self) >= self.entries:
+                self.old = dict(self)
                 self.clear()
             self[part] = ids
         return ids
@@ -102,7 +107,8 @@ class ByteBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.pattern = regex.compile(PATTERN)
-        self.after_space, self.at_start, self.piece = _Table(self._pieces, " "), _Table(self._pieces, ""), _Table(self._merged, "")
+        self.after_space, self.at_start = _Table(self._pieces, " ", TABLE_ENTRIES * 3 // 5), _Table(self._pieces, "", TABLE_ENTRIES // 5)
+        self.piece = _Table(self._merged, "", TABLE_ENTRIES)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-tokenized piece."""
@@ -134,7 +140,7 @@ class ByteBpe:
 
     def _pieces(self, part: str) -> bytes:
         found = self.pattern.findall(part)
-        return self._merged(found[0]) if len(found) == 1 else b"".join(map(self.piece.__getitem__, found))
+        return self.piece[found[0]] if len(found) == 1 else b"".join(map(self.piece.__getitem__, found))
 
     def _ordinary(self, text: str) -> bytes:
         if self.space_first and not text.startswith(" "):
