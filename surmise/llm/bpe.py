@@ -179,6 +179,8 @@ class NativeBpe(ByteBpe):
         if any(made != first + i for i, (_, _, made) in enumerate(self.merges)):
             raise ValueError("the vocabulary's ids don't follow the order of its merges; use ByteBpe")
         ranks = {string: i for i, string in self.strings.items() if i not in self.special.values()}
+        # pieces have no table here
+        self.after_space = _Table(self._pieces, " ", TABLE_ENTRIES * 6 // 5)
         self.library = tiktoken.Encoding("from-file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _pieces(self, part: str) -> bytes:
