@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from surmise.llm._shared import ship_code, sliced
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Cuts as PATTERN does, without trying shorter runs again: a run that ends the text is one piece at once.
+NATIVE_PATTERN = r"'(?:[stmd]|re|ve|ll)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: A generation of the table of pieces has so many entries, of other tables fewer; longer texts aren't kept.
 TABLE_ENTRIES, TABLE_CHARS = 250_000, 48
 #: A batch is passed on once it holds so many bytes.
@@ -168,7 +170,7 @@ class ByteBpe:
 
 
 class NativeBpe(ByteBpe):
-    """The same ids for operators that only need ids: parts not seen before go to a compiled library.
+    """The same ids for operators that only need ids: whole texts go to a compiled library, without tables.
 
     That library ranks merges by the id of what they make, so the vocabulary must be ordered by merges.
     """
@@ -179,12 +181,12 @@ class NativeBpe(ByteBpe):
         if any(made != first + i for i, (_, _, made) in enumerate(self.merges)):
             raise ValueError("the vocabulary's ids don't follow the order of its merges; use ByteBpe")
         ranks = {string: i for i, string in self.strings.items() if i not in self.special.values()}
-        # pieces have no table here
-        self.after_space = _Table(self._pieces, " ", TABLE_ENTRIES * 6 // 5)
-        self.library = tiktoken.Encoding("from-file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.library = tiktoken.Encoding("from-file", pat_str=NATIVE_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def _pieces(self, part: str) -> bytes:
-        return np.array(self.library.encode_ordinary(part), ID).tobytes()
+    def _ordinary(self, text: str) -> bytes:
+        if self.space_first and not text.startswith(" "):
+            text = f" {text}"
+        return self.library.encode_to_numpy(text, disallowed_special=()).astype(ID, copy=False).tobytes()
 
 
 @lru_cache(maxsize=2)
