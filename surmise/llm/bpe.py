@@ -15,8 +15,8 @@ other uses of the space goes through the pattern as a whole.
 
 Defined results: a null text counts as empty and has no ids; very long texts are encoded whole; repeated
 rows, equal and null ids are encoded row by row; empty tables give empty results; ids that aren't in
-the vocabulary make decoding fail.  ``encode`` and ``decode`` return their key and output columns only,
-so extra columns can't clash.
+the vocabulary make decoding fail.  ``encode``, ``decode`` and ``round_trip`` return their key and output
+columns only, so extra columns can't clash.
 """
 
 from __future__ import annotations
@@ -210,13 +210,13 @@ def joined(ids: bytes, strings: dict[int, bytes]) -> str:
     return b"".join(map(strings.__getitem__, np.frombuffer(ids, ID).tolist())).decode("utf-8", "replace")
 
 
-def small_batches(rows: Iterable[tuple], schema: pa.Schema, weight: int) -> Iterator[pa.RecordBatch]:
-    """Record batches of ``rows``, each ended once the values in column ``weight`` reach BATCH_BYTES."""
+def small_batches(rows: Iterable[tuple], schema: pa.Schema, *weights: int) -> Iterator[pa.RecordBatch]:
+    """Record batches of ``rows``, each ended once the values in the columns ``weights`` reach BATCH_BYTES."""
     held: list[tuple] = []
     size = 0
     for row in rows:
         held.append(row)
-        size += len(row[weight]) + 64
+        size += sum(len(row[w]) for w in weights) + 64
         if size >= BATCH_BYTES:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
             held, size = [], 0
@@ -250,3 +250,23 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", keep: tuple[str,
     types = dict(encoded.dtypes)
     columns = [key, *keep]
     return encoded.select(*columns, F.col("ids").alias("text")).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in columns) + ", text string")
+
+
+def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, ids, decoded): ``encode`` and ``decode`` of its ids in one worker, so that ids don't travel in between."""
+    schema = pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(path)
+
+        def rows():
+            for b in sliced(batches):
+                for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    ids = bpe.encode(t)
+                    yield k, len(ids) // ID.itemsize, ids, bpe.decode(ids)
+
+        return small_batches(rows(), schema, 2, 3)
+
+    ship_code(docs.sparkSession)
+    out = docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, "key long, n_tokens long, ids binary, decoded string")
+    return out.withColumnRenamed("key", key)

@@ -45,9 +45,8 @@ def byte_bpe_path() -> str:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = byte_bpe_path()
-    out = bpe.decode(bpe.encode(documents(spark, sf_dir), path), path)
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    out = bpe.round_trip(documents(spark, sf_dir), byte_bpe_path())
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,6 +203,21 @@ def test_bpe_frames(docs, none, library):
             text = TEXTS[r.doc_id] or ""
             assert r.text == text and r.n_tokens == len(library.encode(text, add_special_tokens=False).ids)
     assert bpe.decode(bpe.encode(none, byte_bpe_path()), byte_bpe_path()).count() == 0
+    both = bpe.round_trip(docs, byte_bpe_path())
+    assert both.columns == ["doc_id", "n_tokens", "ids", "decoded"]
+    assert sorted(map(repr, map(tuple, both.collect()))) == sorted(repr((r.doc_id, r.n_tokens, r.ids, r.text)) for r in rows)
+    assert bpe.round_trip(none, byte_bpe_path()).count() == 0
+
+
+def test_compiled_bpe_cuts_like_the_library(library):
+    own = bpe.NativeBpe(byte_bpe_path())
+    parts = ["a", "中", "7", " ", "\n", "\r\n", "\t", "\u00a0", "\u0085", "\u001c", "'s", "'ll", "'", "!", "\u0301", "<|endoftext|>", "\u3000", "½", "_"]
+    rng = random.Random(11)
+    for _ in range(3000):
+        t = "".join(rng.choices(parts, k=rng.randrange(14)))
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    for t in (" " * 200_000, "\u00a0" * 200_000 + "x", "a" * 200_000):
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 # -- 4: n-gram join
