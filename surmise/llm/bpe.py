@@ -39,7 +39,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Cuts as PATTERN does, without trying shorter runs again: a run that ends the text is one piece at once.
 NATIVE_PATTERN = r"'(?:[stmd]|re|ve|ll)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: A generation of the table of pieces has so many entries, of other tables fewer; longer texts aren't kept.
-TABLE_ENTRIES, TABLE_CHARS = 250_000, 48
+TABLE_ENTRIES, TABLE_CHARS = 500_000, 48
 #: A batch is passed on once it holds so many bytes.
 BATCH_BYTES = 8_000_000
 ID = np.dtype("<u4")
