@@ -14,7 +14,7 @@ an empty table gives an empty result; extra columns stay, and those named like a
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Collection, Iterator, Mapping, Sequence
 from functools import lru_cache
 
 import ahocorasick
@@ -76,15 +76,15 @@ class Scanner:
             self.automaton.make_automaton()
         self.any_seed = bool(places)
 
-    def phrase_places(self, spaced: bytes) -> list[tuple[int, str]]:
-        """(word number, label) of every place of a phrase; ``spaced``: the words with spaces around them."""
+    def phrase_places(self, spaced: bytes) -> list[tuple[int, str, str]]:
+        """(word number, label, phrase) of every place of a phrase; ``spaced``: the words with spaces around them."""
         found = []
         for phrase, label in self.phrases:
-            at, words, last = spaced.find(phrase), 0, 0
+            at, words, last, text = spaced.find(phrase), 0, 0, phrase[1:-1].decode()
             while at >= 0:
                 words += spaced.count(b" ", last, at)
                 last = at
-                found.append((words, label))
+                found.append((words, label, text))
                 at = spaced.find(phrase, at + 1)
         return sorted(found)
 
@@ -144,10 +144,10 @@ def _scanner(phrases: tuple, notices: tuple, error_share: float) -> Scanner:
     return Scanner(dict(phrases), dict(notices), error_share)
 
 
-KINDS = "n_words long, places array<struct<word: long, label: string>>, spans array<struct<start: long, stop: long, label: string, edits: int, length: int>>"
+KINDS = "n_words long, places array<struct<word: long, label: string, phrase: string>>, spans array<struct<start: long, stop: long, label: string, edits: int, length: int>>"
 _TYPES = {
     "n_words": pa.int64(),
-    "places": pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())])),
+    "places": pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string()), ("phrase", pa.string())])),
     "spans": pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("label", pa.string()), ("edits", pa.int32()), ("length", pa.int32())])),
 }
 
@@ -166,24 +166,26 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, notices: Mapping
                 words = normalised_words(t)
                 joined = b" ".join(words)
                 counts.append(len(words))
-                places.append([{"word": w, "label": x} for w, x in scanner.phrase_places(b" " + joined + b" ")])
+                places.append([{"word": w, "label": x, "phrase": p} for w, x, p in scanner.phrase_places(b" " + joined + b" ")])
                 spans.append([dict(zip(("start", "stop", "label", "edits", "length"), s, strict=True)) for s in scanner.spans(joined.decode("utf-8", "replace"))])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(counts, _TYPES["n_words"]), pa.array(places, _TYPES["places"]), pa.array(spans, _TYPES["spans"])], names=[*b.schema.names[:-1], *_TYPES])
 
     return docs.select(*(docs[f"`{c}`"] for c in kept.columns), F.col(text).cast("string").alias("__text")).mapInArrow(run, f"{kinds}, {KINDS}")
 
 
-def summary(scanned: DataFrame) -> dict[str, F.Column]:
-    """Columns that sum a scan up: counts, first and last place, labels, and the best match as a score."""
-    words, joined = F.col("places.word"), lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
+def summary(scanned: DataFrame, base: Collection[str] | None = None) -> dict[str, F.Column]:
+    """Columns that sum a scan up: counts, first and last place, labels, and the best match as a score.
+
+    With ``base``, only places of these phrases are counted and give base labels; the other phrases still label and score.
+    """
+    places = F.col("places") if base is None else F.filter("places", lambda p: p["phrase"].isin(*base))
+    words, joined = places["word"], lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     best = F.array_max(F.transform("spans", lambda s: 1 - s["edits"] / s["length"]))
     return {
-        "n_base": F.size("places").cast("long"),
+        "n_base": F.size(places).cast("long"),
         "first_word": F.array_min(words),
         "last_word": F.array_max(words),
-        "base_labels": joined(F.col("places.label")),
+        "base_labels": joined(places["label"]),
         "labels": joined(F.concat(F.col("places.label"), F.col("spans.label"))),
         "score": F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.greatest(best, F.lit(0.0)), F.lit(0.0))),
     }
-
-

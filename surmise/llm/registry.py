@@ -62,9 +62,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *emit, failed.alias("base_failed"), "kept")
 
 
+#: The phrases of op6's base columns; the operator's own ones only label.
+BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned = licenses.scan(documents(spark, sf_dir), keep=["doc_id"])
-    sums = licenses.summary(scanned)
+    scanned = licenses.scan(documents(spark, sf_dir), phrases=licenses.PHRASES | BASE_PHRASES, keep=["doc_id"])
+    sums = licenses.summary(scanned, BASE_PHRASES)
     return scanned.select("doc_id", "n_words", *(c.alias(name) for name, c in sums.items()))
 
 

@@ -346,6 +346,23 @@ def test_phrase_places_equal_brute_force(spark):
         assert got[i].base_labels == ",".join(sorted({x for _, x in at})) and set(got[i].base_labels.split(",")) <= {*got[i].labels.split(","), ""}
 
 
+def test_license_query_keeps_its_contract(spark, tmp_path):
+    """The query's base columns on odd texts: "the mit license" alone is a label, not a base place."""
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    parts = ["under", "the mit license", "under the MIT License", "Apache-License, Version 2", "2.0", "CC", "BY-NC", "cc\x00by\x7fnc", "\u0130", "\u212a", "the\u00a0mit license", "\u0085", "under\tthe\rmit\nlicense"]
+    rng = random.Random(6)
+    texts = [None, "", "the mit license", "under the mit license under the mit license", *(rng.choice([" ", "_", ""]).join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(80))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = by_id(registry.op6_license_scan(spark, str(tmp_path)).collect())
+    for i, t in enumerate(texts):
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        at = [(k, label) for phrase, label in phrases.items() for k in range(len(ws)) if ws[k : k + len(phrase.split())] == phrase.split()]
+        starts = [k for k, _ in at]
+        expected = (len(ws), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at})))
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels) == expected, t
+    assert (got[2].n_base, got[2].labels, got[3].n_base, got[3].last_word) == (0, "mit", 2, 4)
+
+
 @pytest.mark.parametrize(
     "text, label, edits",
     [
