@@ -4,6 +4,7 @@ Within a recursive stratum every round joins only what the last round added: for
 each rule, that literal reads the last additions and the others read everything so far.  What a round adds is
 written as a table of its own; a relation is the union of its tables, which are merged when they are many, and
 the lineage of a round never holds the rounds before it.  A relation with several readers is stored as well.
+Transitive closures are evaluated over groups of nodes that reach each other (``closure.py``).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from surmise.check import check_program, infer_types
 from surmise.operators.rules import derive
+from surmise.plans.closure import EDGES, closure_rules, contracted, expanded, groups
 from surmise.sources.facts import schema_of, to_frame, types_of
 from surmise.sources.store import Store
 from surmise.terms import INTRINSIC, Fact, Rule
@@ -99,7 +101,10 @@ class Fixpoint:
         for part in parts:
             rules = [r for r in self.rules if r.head.name in part]
             recursive = [r for r in rules if any(x.name in part for x in r.body)]
-            if recursive:
+            closing = closure_rules(part[0], rules, part[0] in self.relations) if recursive and len(part) == 1 else None
+            if closing and len(set(self.types[part[0]])) == 1:
+                self._close(part[0], [r for r in rules if r not in recursive], closing)
+            elif recursive:
                 self._iterate(part, rules, recursive)
             else:
                 self._once(part[0], rules)
@@ -118,6 +123,24 @@ class Fixpoint:
             _, self.relations[name] = self.store.write(self.relations[name], name)
             self.stored.add(name)
 
+    def _close(self, name: str, plain: Sequence[Rule], closing: Sequence[Rule]) -> None:
+        base = self._base(name, plain)
+        columns = base.columns
+        _, edges = self.store.write(base.toDF("x", "y"), name)
+        members = groups(self.store, edges)
+        if members is not None:
+            _, edges = self.store.write(contracted(edges, members), name)
+        inner = Fixpoint(self.spark, closing, {EDGES: edges}, {name: self.types[name], EDGES: self.types[name]})
+        inner.store, inner.stored = self.store, {EDGES}
+        inner._iterate([name], closing, closing[1:])
+        self.rounds += inner.rounds
+        found = inner.relations[name]
+        if members is None:
+            self.stored.add(name)
+        else:
+            found = expanded(self.store, found.toDF("x", "y"), members)
+        self.relations[name] = found.toDF(*columns)
+
     def _iterate(self, part: Sequence[str], rules: Sequence[Rule], recursive: Sequence[Rule]) -> None:
         plain = [r for r in rules if r not in recursive]
         # every round reads these: computed once, not once a round
