@@ -72,3 +72,12 @@ def test_only_closures_are_contracted(spark):
     edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")]
     both = edges + [(b, a) for a, b in edges]
     assert _close(spark, "q(x, y) :- e(x, y). q(x, y) :- e(y, x). " + BOTH, edges)[1] == _reached(both)
+
+
+def test_squared_closures_of_any_start(spark):
+    """q(x, z) :- q(x, y), q(y, z) closes whatever the plain rules derive, given tuples too."""
+    rules = parse_text("q(x, y) :- e(y, x). " + BOTH).rules
+    edges, own = [("b", "a"), ("c", "b"), ("a", "c")], [("c", "d"), ("d", "x")]
+    kind = "v0 string, v1 string"
+    f = Fixpoint(spark, rules, {"e": spark.createDataFrame(edges, kind), "q": spark.createDataFrame(own, kind)}, {n: ["symbol"] * 2 for n in "eq"})
+    assert set(map(tuple, f.run(["q"])["q"].collect())) == _reached([(b, a) for a, b in edges] + own) and f.rounds <= 3
