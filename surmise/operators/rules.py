@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surmise.terms import INTRINSIC, Literal, Number, Rule, String, Term, Variable, Wildcard
@@ -120,3 +120,40 @@ def head_columns(rule: Rule) -> list[Column]:
 def derive(rule: Rule, source: Callable[[int, Literal], DataFrame]) -> DataFrame:
     """The head tuples of one rule, not yet distinct."""
     return body_frame(rule, source, variables(rule.head)).select(*head_columns(rule))
+
+
+#: Of the partners that a key has in a squared join, so many stand in one row at most.
+MOST_PARTNERS = 4096
+
+
+def squared(rule: Rule) -> tuple[str, str, str] | None:
+    """(a, b, p) of a rule q(.. a .. b ..) :- e(a, p), e(b, p), whatever the order of arguments; p isn't in the head."""
+    if len(rule.body) != 2 or len({x.name for x in rule.body}) != 1 or any(not x.positive or x.name in INTRINSIC for x in rule.body):
+        return None
+    first, second = (variables(x) for x in rule.body)
+    own = [first - second, second - first, first & second]
+    if any(len(x) != 1 for x in own) or any(len(x.args) != 2 for x in rule.body) or variables(rule.head) != own[0] | own[1]:
+        return None
+    return tuple(x.pop() for x in own)
+
+
+def derive_squared(rule: Rule, df: DataFrame, tasks: int) -> DataFrame:
+    """The distinct head tuples of a ``squared`` rule: each range of a, of ``tasks``, gets the partner lists of its keys once.
+
+    The pairs themselves are never shuffled; those of one range meet in one task.
+    """
+    a, b, p = (var(x) for x in squared(rule))
+    # dealt by key once, for the lists and for their join
+    left, right = (scan(df, lit).repartition(p) for lit in rule.body)
+    if left.schema[a].dataType.simpleString() == "bigint":
+        low, high = scan(df, rule.body[0]).agg(F.min(a), F.max(a)).head()
+        span = (high or 0) - (low or 0) + 1
+        part = F.least(F.lit(tasks - 1), F.floor((F.col(a) - (low or 0)).cast("double") / span * tasks)).cast("long")
+    else:
+        part = F.pmod(F.xxhash64(a), F.lit(tasks))
+    mine = left.groupBy(p, part.alias("part")).agg(F.collect_list(a).alias("mine"))
+    block = F.floor((F.row_number().over(Window.partitionBy(p).orderBy(b)) - 1) / MOST_PARTNERS)
+    theirs = right.select(p, b, block.alias("block")).groupBy(p, "block").agg(F.collect_list(b).alias("theirs"))
+    lists = mine.join(theirs, p).select("part", "mine", "theirs").repartition(tasks, "part")
+    pairs = lists.select("part", F.explode("mine").alias(a), "theirs").select("part", a, F.explode("theirs").alias(b))
+    return pairs.groupBy("part", a, b).agg(F.lit(1).alias("one")).select(*head_columns(rule))

@@ -15,13 +15,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 
 from surmise.check import check_program, infer_types
-from surmise.operators.rules import derive
+from surmise.operators.rules import derive, derive_squared, squared
 from surmise.plans.closure import EDGES, closure_rules, contracted, expanded, groups
 from surmise.sources.facts import schema_of, to_frame, types_of
 from surmise.sources.store import Store
 from surmise.terms import INTRINSIC, Fact, Rule
 
 
+#: A relation of so many tuples at least is joined with itself by lists of partners.
+LARGE = 100_000
 #: A relation is stored in so many tables at most; then all but the newest are merged.
 MOST_TABLES = 8
 
@@ -78,6 +80,7 @@ class Fixpoint:
         self.rounds = 0
         self.store = Store(spark)
         self.stored: set[str] = set()
+        self.counts: dict[str, int] = {}
 
     def empty(self, name: str) -> DataFrame:
         return self.spark.createDataFrame([], schema_of(self.types[name]))
@@ -111,11 +114,31 @@ class Fixpoint:
         return self.relations
 
     def _base(self, name: str, rules: Sequence[Rule]) -> DataFrame:
-        frames = [derive(r, lambda _, lit: self._read(lit.name)) for r in rules if r.head.name == name]
+        own = [r for r in rules if r.head.name == name]
+        frames = [self._derive(r) for r in own]
         if name in self.relations:
             frames.append(self.relations[name])
+        if len(frames) == 1 and own and self._by_lists(own[0]):
+            return frames[0]
         return _union(frames or [self.empty(name)]).distinct()
 
+    def _by_lists(self, rule: Rule) -> bool:
+        """Whether a rule joins a large relation with itself on a column that the head drops."""
+        if not squared(rule):
+            return False
+        source = rule.body[0].name
+        if source not in self.stored:
+            _, self.relations[source] = self.store.write(self._read(source), source)
+            self.stored.add(source)
+        if source not in self.counts:
+            self.counts[source] = self.relations[source].count()
+        return self.counts[source] >= LARGE
+
+    def _derive(self, rule: Rule) -> DataFrame:
+        if self._by_lists(rule):
+            return derive_squared(rule, self.relations[rule.body[0].name], 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return derive(rule, lambda _, lit: self._read(lit.name))
+
     def _once(self, name: str, rules: Sequence[Rule]) -> None:
         self.relations[name] = self._base(name, rules)
         if sum(x.name == name for r in self.rules for x in r.body) > 1:

@@ -1,11 +1,12 @@
-"""Closures over contracted groups against a plain search."""
+"""Closures over contracted groups, and joins by lists of partners, against a plain search."""
 
 import random
 
 import pytest
 
+from surmise.operators import rules as joins
 from surmise.parser import parse_text
-from surmise.plans import closure
+from surmise.plans import closure, fixpoint
 from surmise.plans.fixpoint import Fixpoint
 
 RIGHT, LEFT, BOTH = "q(x, z) :- e(x, y), q(y, z).", "q(x, z) :- q(x, y), e(y, z).", "q(x, z) :- q(y, z), q(x, y)."
@@ -81,3 +82,30 @@ def test_squared_closures_of_any_start(spark):
     kind = "v0 string, v1 string"
     f = Fixpoint(spark, rules, {"e": spark.createDataFrame(edges, kind), "q": spark.createDataFrame(own, kind)}, {n: ["symbol"] * 2 for n in "eq"})
     assert set(map(tuple, f.run(["q"])["q"].collect())) == _reached([(b, a) for a, b in edges] + own) and f.rounds <= 3
+
+
+@pytest.mark.parametrize("rule, kind", [("q(a, b) :- e(a, p), e(b, p).", "long"), ("q(b, 7, a) :- e(p, a), e(p, b).", "long"), ("q(a, b) :- e(a, p), e(p, b).", "string")])
+def test_self_joins_shuffle_no_pairs(spark, monkeypatch, rule, kind):
+    """Every pair once, for frequent keys too; no exchange carries both ends of a pair."""
+    monkeypatch.setattr(fixpoint, "LARGE", 1)
+    monkeypatch.setattr(joins, "MOST_PARTNERS", 3)
+    rng = random.Random(5)
+    edges = list({(rng.randint(-9, 40), rng.randint(0, 40)) for _ in range(150)} | {(i, 1) for i in range(30)} | {(1, i) for i in range(30)})
+    if kind == "string":
+        edges = [tuple(map(str, e)) for e in edges]
+    parsed = parse_text(rule).rules
+    at = [[a.name for a in x.args] for x in parsed[0].body]
+    rows = [dict(zip(at[0], x, strict=True)) | dict(zip(at[1], y, strict=True)) for x in edges for y in edges if x[at[0].index("p")] == y[at[1].index("p")]]
+    expected = {tuple(r[v.name] if hasattr(v, "name") else 7 for v in parsed[0].head.args) for r in rows}
+    types = ["number" if kind == "long" else "symbol"] * 2
+    q = Fixpoint(spark, parsed, {"e": spark.createDataFrame(edges, f"v0 {kind}, v1 {kind}")}, {"e": types, "q": types + ["number"] * (len(parsed[0].head.args) - 2)}).run(["q"])["q"]
+    got = list(map(tuple, q.collect()))
+    assert len(got) == len(set(got)) and set(got) == expected
+    assert "hashpartitioning(x_a" not in q._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_empty_self_join(spark, monkeypatch):
+    monkeypatch.setattr(fixpoint, "LARGE", 0)
+    rules = parse_text("q(a, b) :- e(a, p), e(b, p).").rules
+    f = Fixpoint(spark, rules, {"e": spark.createDataFrame([], "v0 long, v1 long")}, {n: ["number"] * 2 for n in "eq"})
+    assert f.run(["q"])["q"].count() == 0
