@@ -1,7 +1,9 @@
 """Closures over contracted groups, and joins by lists of partners, against a plain search."""
 
 import random
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 
 from surmise.operators import rules as joins
@@ -58,6 +60,12 @@ def test_a_cycle_is_closed_in_few_rounds(spark, step):
     assert got == {(a, b) for a in range(60) for b in range(60)} and f.rounds <= 2
 
 
+def test_a_closure_stores_no_pairs_of_a_cycle(spark):
+    f, got = _close(spark, "q(x, y) :- e(x, y). " + LEFT, [(i, (i + 1) % 60) for i in range(60)], "long")
+    files = Path(f.store.root.removeprefix("file://")).rglob("*.parquet")
+    assert len(got) == 3600 and 0 < sum(pq.ParquetFile(p).metadata.num_rows for p in files) < 600
+
+
 def test_only_closures_are_contracted(spark):
     """Rules that look alike but aren't closures of one relation."""
     for text in (
