@@ -4,7 +4,11 @@ Nodes that reach each other reach the same nodes, so a fixpoint over single node
 each pair once per edge.  Here a group of such nodes is one node of a smaller graph, whose closure is evaluated as
 any other; its pairs of groups then become pairs of nodes, each made once and not stored.  Groups needn't be whole
 components: any set of nodes that reach each other may be contracted, what isn't only costs more rounds.  So up to
-``LOCAL_EDGES`` edges one task finds all components; larger graphs are searched by labels first, round by round.
+``LOCAL_EDGES`` edges one task finds all components, and closes their graph too if it is small; larger graphs are
+searched by labels first, round by round.
+
+Pairs of two blocks of nodes are made as Arrow batches, in runs that Parquet's encodings shrink most: what the whole
+result takes, in time and on disk, is then little more than its writer's own work.
 """
 
 from __future__ import annotations
@@ -21,10 +25,16 @@ from surmise.terms import INTRINSIC, Literal, Rule, Variable
 EDGES = "surmise_edges"
 #: One task searches a graph of so many edges at most: some hundred MB.
 LOCAL_EDGES = 1 << 22
+#: That task also closes a graph of so many groups at most (a group has a bit for each).
+LOCAL_GROUPS = 4096
 #: Searches for groups, and rounds of one search, at most: more would find more groups, but no other pairs.
 MOST_PASSES, MOST_ROUNDS = 3, 40
 #: A group's nodes stand in blocks of about so many; a task makes about so many pairs of two blocks.
-BLOCK, TASK_PAIRS = 2048, 1 << 24
+BLOCK, TASK_PAIRS = 1024, 1 << 24
+#: Two blocks of so many pairs at least are unfolded as Arrow batches.
+ARROW_PAIRS = 1024
+#: Blocks of so many nodes at most in all are broadcast: 8 MB of numbers.
+BROADCAST_NODES = 1 << 20
 
 
 def _ends(lit: Literal) -> tuple[str, str] | None:
@@ -73,8 +83,14 @@ def closure_rules(name: str, rules: Sequence[Rule], given: bool) -> list[Rule] |
     return [Rule(Literal(name, (x, y)), (Literal(EDGES, (x, y)),)), Rule(Literal(name, (x, z)), (Literal(body[0], (x, y)), Literal(body[1], (y, z))))]
 
 
-def _components(edges: DataFrame) -> DataFrame:
-    """(v, c): the nodes of strongly connected components of several nodes, by one task (Tarjan)."""
+def closed_locally(edges: DataFrame, most_groups: int) -> DataFrame:
+    """(kind, x, y, block, vs) of a graph that one task holds: what it is of, by ``kind``.
+
+    ``block``: the nodes vs of a numbered block of a component of several nodes, x; ``edge``: of the contracted graph, where nodes
+    outside such components stand for themselves; ``pair``: of its closure, instead of edges, unless it has more than
+    ``most_groups`` nodes.
+    """
+    size = BLOCK
 
     # nothing of this module is named inside, so executors needn't have it
     def run(batches):
@@ -91,7 +107,7 @@ def _components(edges: DataFrame) -> DataFrame:
         first = np.searchsorted(ends[:half][order], np.arange(n + 1)).tolist()
         to, at = ends[half:][order].tolist(), first[:n]
         index, low, group = [0] * n, [0] * n, [-1] * n
-        count, stack = 0, []
+        count, stack, tops = 0, [], []
         for root in range(n):
             if index[root]:
                 continue
@@ -114,16 +130,45 @@ def _components(edges: DataFrame) -> DataFrame:
                     if work:
                         low[work[-1]] = min(low[work[-1]], low[v])
                     if low[v] == index[v]:
+                        tops.append(v)
                         while group[v] < 0:
                             group[stack.pop()] = v
-        group = np.array(group)
+        group, values = np.array(group), coded.dictionary
+
+        def rows(kind, x, y=None, block=None, vs=None):
+            at = (lambda i: None if i is None else values.take(pa.array(i)))
+            cells = ((pa.array([kind] * len(x)), None), (at(x), None), (at(y), values.type), (block, pa.int64()), (vs, pa.list_(values.type)))
+            return pa.RecordBatch.from_arrays([pa.nulls(len(x), like) if a is None else a for a, like in cells], names=["kind", "x", "y", "block", "vs"])
+
         kept = np.nonzero(np.bincount(group, minlength=n)[group] > 1)[0]
-        for k in range(0, len(kept), 10000):
-            part = kept[k : k + 10000]
-            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(part)), coded.dictionary.take(pa.array(group[part]))], names=["v", "c"])
+        kept = kept[np.argsort(group[kept], kind="stable")]
+        starts = np.searchsorted(group[kept], c := np.unique(group[kept]))
+        for a, b, name in zip(starts.tolist(), [*starts[1:].tolist(), len(kept)], c.tolist()):
+            for k in range(a, b, size):
+                own = kept[k : min(b, k + size)]
+                yield rows("block", [name], None, pa.array([k // size]), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), values.take(pa.array(own))))
+        ends = np.unique(group[ends[:half]].astype(np.int64) * n + group[ends[half:]])
+        xs, ys = ends // n, ends % n
+        if len(tops) > most_groups:
+            for k in range(0, len(xs), 10000):
+                yield rows("edge", xs[k : k + 10000], ys[k : k + 10000])
+            return
+        # components come after those that they reach
+        place = np.zeros(n, np.int64)
+        place[tops] = np.arange(len(tops))
+        reach, width = [0] * len(tops), (len(tops) + 7) // 8
+        order = np.argsort(place[xs], kind="stable")
+        for x, y in zip(place[xs[order]].tolist(), place[ys[order]].tolist()):
+            reach[x] |= reach[y] | 1 << y
+        tops = np.array(tops)
+        for x, bits in enumerate(reach):
+            if bits:
+                own = np.unpackbits(np.frombuffer(bits.to_bytes(width, "little"), np.uint8), bitorder="little")
+                own = tops[np.nonzero(own)[0]]
+                yield rows("pair", np.full(len(own), tops[x]), own)
 
     kind = edges.schema["x"].dataType.simpleString()
-    return edges.select("x", "y").coalesce(1).mapInArrow(run, f"v {kind}, c {kind}")
+    return edges.select("x", "y").coalesce(1).mapInArrow(run, f"kind string, x {kind}, y {kind}, block long, vs array<{kind}>")
 
 
 def _labels(store: Store, edges: DataFrame, best) -> DataFrame:
@@ -168,7 +213,7 @@ def groups(store: Store, edges: DataFrame) -> DataFrame | None:
         if not n:
             break
         if n <= LOCAL_EDGES:
-            _, own = store.write(_components(rest), "groups")
+            _, own = store.write(closed_locally(rest, 0).where("kind = 'block'").select(F.explode("vs").alias("v"), F.col("x").alias("c")), "groups")
             if not own.isEmpty():
                 found = own if found is None else found.union(own)
             break
@@ -194,21 +239,87 @@ def contracted(edges: DataFrame, members: DataFrame) -> DataFrame:
     return out.select(F.coalesce("ca", "x").alias("x"), F.coalesce("cb", "y").alias("y")).distinct()
 
 
-def expanded(store: Store, pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs of nodes behind the different pairs (x, y) of groups."""
-    spark = pairs.sparkSession
+def contraction(store: Store, edges: DataFrame) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+    """The contracted graph's edges, or else its closure's pairs, and the blocks (c, block, vs) of its groups, if any."""
+    if edges.count() > LOCAL_EDGES:
+        members = groups(store, edges)
+        if members is None:
+            return edges, None, None
+        return store.write(contracted(edges, members), "edges")[1], None, blocked(store, members)
+    _, table = store.write(closed_locally(edges, LOCAL_GROUPS), "local")
+    kinds = {kind for (kind,) in table.select("kind").distinct().collect()}
+    blocks = table.where("kind = 'block'").select(F.col("x").alias("c"), "block", "vs") if "block" in kinds else None
+    if "edge" not in kinds:
+        return None, table.where("kind = 'pair'").select("x", "y"), blocks
+    return table.where("kind = 'edge'").select("x", "y") if blocks else edges, None, blocks
+
+
+def blocked(store: Store, members: DataFrame) -> DataFrame:
+    """(c, block, vs): the nodes of each group, in numbered blocks."""
     sizes = members.groupBy(F.col("c").alias("g")).agg(F.ceil(F.count("*") / BLOCK).alias("n"))
     placed = members.join(sizes, F.col("c") == F.col("g")).select("c", F.pmod(F.xxhash64("v"), F.col("n")).alias("block"), "v")
-    _, blocks = store.write(placed.groupBy("c", "block").agg(F.sort_array(F.collect_list("v")).alias("vs")), "blocks")
+    return store.write(placed.groupBy("c", "block").agg(F.sort_array(F.collect_list("v")).alias("vs")), "blocks")[1]
+
+
+def _unfolded(lists: DataFrame) -> DataFrame:
+    """The pairs (x, y) of each row's lists xs and ys.
+
+    Each node of xs comes with the same some hundred nodes of ys, a number divisible by eight: x stands in runs, and the
+    bytes of y's codes repeat, so both shrink to a few hundredths in Parquet.  Up to seven nodes of ys that are left come
+    with xs the other way round.
+    """
+
+    # nothing of this module is named inside, so executors needn't have it
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def pairs(outer, inner):
+            """Each node of outer with all of inner."""
+            k, n = len(inner), max(1, 65536 // len(inner))
+            n = min(n, len(outer))
+            again, along = np.repeat(np.arange(n), k), inner.take(pa.array(np.tile(np.arange(k), n)))
+            for i in range(0, len(outer), n):
+                part = outer.slice(i, n)
+                yield part.take(pa.array(again[: len(part) * k])), along.slice(0, len(part) * k)
+
+        for b in batches:
+            lists = [(c.offsets.to_pylist(), c.values) for c in b.columns]
+            for row in range(b.num_rows):
+                xs, ys = (v.slice(at[row], at[row + 1] - at[row]) for at, v in lists)
+                even = len(ys) // 8 * 8
+                for k in range(0, even, 512):
+                    for x, y in pairs(xs, ys.slice(k, min(512, even - k))):
+                        yield pa.RecordBatch.from_arrays([x, y], names=["x", "y"])
+                if even < len(ys):
+                    for y, x in pairs(ys.slice(even), xs):
+                        yield pa.RecordBatch.from_arrays([x, y], names=["x", "y"])
+
+    kind = lists.schema["xs"].dataType.elementType.simpleString()
+    return lists.select("xs", "ys").mapInArrow(run, f"x {kind}, y {kind}")
+
+
+def expanded(store: Store, pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The pairs of nodes behind the different pairs (x, y) of groups, whose nodes stand in blocks (c, block, vs)."""
+    spark = pairs.sparkSession
     index = blocks.select("c", "block", F.size("vs").cast("double").alias("n"))
     groups = index.select(F.col("c").alias("g")).distinct()
     plain = pairs.join(groups, F.col("x") == F.col("g"), "left_anti").join(groups, F.col("y") == F.col("g"), "left_anti")
     refs = pairs.join(index.toDF("cx", "bx", "nx"), F.col("x") == F.col("cx"), "left").join(index.toDF("cy", "by", "ny"), F.col("y") == F.col("cy"), "left")
-    _, refs = store.write(refs.where("cx IS NOT NULL OR cy IS NOT NULL"), "refs")
-    total = refs.agg(F.sum(F.coalesce("nx", F.lit(1.0)) * F.coalesce("ny", F.lit(1.0)))).head()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20000, int(total / TASK_PAIRS)))
-    out = refs.select("x", "bx", "y", "by").repartition(tasks)
-    out = out.join(blocks.toDF("c1", "b1", "xs"), (F.col("x") == F.col("c1")) & (F.col("bx") == F.col("b1")), "left")
-    out = out.join(blocks.toDF("c2", "b2", "ys"), (F.col("y") == F.col("c2")) & (F.col("by") == F.col("b2")), "left")
-    out = out.select(F.coalesce("xs", F.array("x")).alias("xs"), F.coalesce("ys", F.array("y")).alias("ys"))
-    return plain.union(out.select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y")))
+    refs = refs.where("cx IS NOT NULL OR cy IS NOT NULL").withColumn("n", F.coalesce("nx", F.lit(1.0)) * F.coalesce("ny", F.lit(1.0)))
+    _, refs = store.write(refs.select("x", "bx", "y", "by", "n", (F.col("n") >= ARROW_PAIRS).alias("large")), "refs")
+    few = (index.agg(F.sum("n")).head()[0] or 0) <= BROADCAST_NODES
+    first, second = blocks.toDF("c1", "b1", "xs"), blocks.toDF("c2", "b2", "ys")
+    out = plain
+    for large, total in refs.groupBy("large").agg(F.sum("n")).collect():
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20000, int(total / TASK_PAIRS)))
+        lists = refs.where(F.col("large") == large).select("x", "bx", "y", "by")
+        if few:
+            # the lists come to the pairs, dealt out evenly; a join's own exchange would have few partitions for so many rows
+            lists, first, second = lists.repartition(tasks), F.broadcast(first), F.broadcast(second)
+        lists = lists.join(first, (F.col("x") == F.col("c1")) & (F.col("bx") == F.col("b1")), "left")
+        lists = lists.join(second, (F.col("y") == F.col("c2")) & (F.col("by") == F.col("b2")), "left")
+        lists = lists.select(F.coalesce("xs", F.array("x")).alias("xs"), F.coalesce("ys", F.array("y")).alias("ys"))
+        lists = lists if few else lists.repartition(tasks)
+        out = out.union(_unfolded(lists) if large else lists.select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y")))
+    return out

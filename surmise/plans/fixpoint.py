@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from surmise.check import check_program, infer_types
 from surmise.operators.rules import derive, derive_squared, squared
-from surmise.plans.closure import EDGES, closure_rules, contracted, expanded, groups
+from surmise.plans.closure import EDGES, closure_rules, contraction, expanded
 from surmise.sources.facts import schema_of, to_frame, types_of
 from surmise.sources.store import Store
 from surmise.terms import INTRINSIC, Fact, Rule
@@ -150,18 +150,17 @@ class Fixpoint:
         base = self._base(name, plain)
         columns = base.columns
         _, edges = self.store.write(base.toDF("x", "y"), name)
-        members = groups(self.store, edges)
-        if members is not None:
-            _, edges = self.store.write(contracted(edges, members), name)
-        inner = Fixpoint(self.spark, closing, {EDGES: edges}, {name: self.types[name], EDGES: self.types[name]})
-        inner.store, inner.stored = self.store, {EDGES}
-        inner._iterate([name], closing, closing[1:])
-        self.rounds += inner.rounds
-        found = inner.relations[name]
-        if members is None:
+        edges, found, blocks = contraction(self.store, edges)
+        if edges is not None:
+            inner = Fixpoint(self.spark, closing, {EDGES: edges}, {name: self.types[name], EDGES: self.types[name]})
+            inner.store, inner.stored = self.store, {EDGES}
+            inner._iterate([name], closing, closing[1:])
+            self.rounds += inner.rounds
+            found = inner.relations[name].toDF("x", "y")
+        if blocks is None:
             self.stored.add(name)
         else:
-            found = expanded(self.store, found.toDF("x", "y"), members)
+            found = expanded(self.store, found, blocks)
         self.relations[name] = found.toDF(*columns)
 
     def _iterate(self, part: Sequence[str], rules: Sequence[Rule], recursive: Sequence[Rule]) -> None:

@@ -117,3 +117,19 @@ def test_no_empty_self_join(spark, monkeypatch):
     rules = parse_text("q(a, b) :- e(a, p), e(b, p).").rules
     f = Fixpoint(spark, rules, {"e": spark.createDataFrame([], "v0 long, v1 long")}, {n: ["number"] * 2 for n in "eq"})
     assert f.run(["q"])["q"].count() == 0
+
+
+@pytest.mark.parametrize("step", [RIGHT, LEFT, BOTH])
+@pytest.mark.parametrize("limits, local", [({}, True), ({"ARROW_PAIRS": 1, "BLOCK": 3}, True), ({"LOCAL_GROUPS": 5, "BROADCAST_NODES": 0}, False)])
+def test_small_graphs_are_closed_by_one_task(spark, monkeypatch, step, limits, local):
+    """No rounds of joins, unless the graph of groups is large; nodes of several blocks, by Arrow or not."""
+    for name, value in limits.items():
+        monkeypatch.setattr(closure, name, value)
+    edges = _graph(random.Random(4))
+    f, got = _close(spark, "q(x, y) :- e(x, y). " + step, edges)
+    assert got == _reached(edges) and (f.rounds == 0) == local
+
+
+def test_empty_and_looping_graphs(spark):
+    for edges in ([], [(1, 1)], [(1, 1), (1, 2)], [(2, 1), (1, 2)]):
+        assert _close(spark, "q(x, y) :- e(x, y). " + BOTH, edges, "long")[1] == _reached(edges)
