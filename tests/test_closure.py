@@ -133,3 +133,33 @@ def test_small_graphs_are_closed_by_one_task(spark, monkeypatch, step, limits, l
 def test_empty_and_looping_graphs(spark):
     for edges in ([], [(1, 1)], [(1, 1), (1, 2)], [(2, 1), (1, 2)]):
         assert _close(spark, "q(x, y) :- e(x, y). " + BOTH, edges, "long")[1] == _reached(edges)
+
+
+def test_results_of_a_cycle_shrink_in_parquet(spark, tmp_path):
+    """Bytes of the written result a row: runs of x, repeating codes of y."""
+    n = 1501
+    types = {"e": ["number"] * 2, "q": ["number"] * 2}
+    df = spark.createDataFrame([(7 * i, 7 * ((i + 1) % n)) for i in range(n)], "v0 long, v1 long")
+    q = Fixpoint(spark, parse_text("q(x, y) :- e(x, y). " + LEFT).rules, {"e": df}, types).run(["q"])["q"]
+    q.write.parquet(f"file://{tmp_path}/q")
+    files = list((tmp_path / "q").glob("*.parquet"))
+    got = {(x, y) for f in files for x, y in zip(*(c.to_pylist() for c in pq.read_table(f).columns), strict=True)}
+    assert len(got) == sum(pq.ParquetFile(f).metadata.num_rows for f in files) == n * n
+    assert sum(f.stat().st_size for f in files) < 0.4 * n * n
+
+
+@pytest.mark.parametrize("limits", [{}, {"BROADCAST_NODES": 0}])
+def test_pairs_are_dealt_to_tasks_by_their_number(spark, monkeypatch, limits):
+    """Whatever joins Spark chooses: their exchanges count bytes, and few bytes become many pairs."""
+    for name, value in (limits | {"TASK_PAIRS": 1000, "BLOCK": 8}).items():
+        monkeypatch.setattr(closure, name, value)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        types = {"e": ["number"] * 2, "q": ["number"] * 2}
+        df = spark.createDataFrame([(i, (i + 1) % 90) for i in range(90)], "v0 long, v1 long")
+        q = Fixpoint(spark, parse_text("q(x, y) :- e(x, y). " + LEFT).rules, {"e": df}, types).run(["q"])["q"]
+        parts = q.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert sum(parts) == 8100 and sum(k > 0 for k in parts) >= 8 and max(parts) < 2500
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
