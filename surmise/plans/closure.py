@@ -7,15 +7,17 @@ components: any set of nodes that reach each other may be contracted, what isn't
 ``LOCAL_EDGES`` edges one task finds all components, and closes their graph too if it is small; larger graphs are
 searched by labels first, round by round.
 
-Pairs of two blocks of nodes are made as Arrow batches, in runs that Parquet's encodings shrink most: what the whole
-result takes, in time and on disk, is then little more than its writer's own work.
+Pairs of two blocks of nodes are made as Arrow batches, in runs that Parquet's encodings shrink most, and a task that makes
+many has one block of second nodes, so the codes of a file's second column are single bytes: what the whole result takes, in
+time and on disk, is then little more than its writer's own work.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surmise.sources.store import Store
@@ -29,8 +31,10 @@ LOCAL_EDGES = 1 << 22
 LOCAL_GROUPS = 4096
 #: Searches for groups, and rounds of one search, at most: more would find more groups, but no other pairs.
 MOST_PASSES, MOST_ROUNDS = 3, 40
-#: A group's nodes stand in blocks of about so many; a task makes about so many pairs of two blocks.
-BLOCK, TASK_PAIRS = 1024, 1 << 24
+#: A group's nodes stand in blocks of so many (their codes fit a byte; two are the 504 values that Parquet packs at once).
+BLOCK = 252
+#: A task makes about so many pairs of two blocks; there are so many tasks at most.
+TASK_PAIRS, MOST_TASKS = 1 << 24, 20000
 #: Two blocks of so many pairs at least are unfolded as Arrow batches.
 ARROW_PAIRS = 1024
 #: Blocks of so many nodes at most in all are broadcast: 8 MB of numbers.
@@ -96,6 +100,7 @@ def closed_locally(edges: DataFrame, most_groups: int) -> DataFrame:
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         tables = [(b.column(0), b.column(1)) for b in batches if b.num_rows]
         if not tables:
@@ -141,7 +146,8 @@ def closed_locally(edges: DataFrame, most_groups: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.nulls(len(x), like) if a is None else a for a, like in cells], names=["kind", "x", "y", "block", "vs"])
 
         kept = np.nonzero(np.bincount(group, minlength=n)[group] > 1)[0]
-        kept = kept[np.argsort(group[kept], kind="stable")]
+        rank = np.argsort(pc.array_sort_indices(values).to_numpy())
+        kept = kept[np.lexsort((rank[kept], group[kept]))]
         starts = np.searchsorted(group[kept], c := np.unique(group[kept]))
         for a, b, name in zip(starts.tolist(), [*starts[1:].tolist(), len(kept)], c.tolist()):
             for k in range(a, b, size):
@@ -255,18 +261,19 @@ def contraction(store: Store, edges: DataFrame) -> tuple[DataFrame | None, DataF
 
 
 def blocked(store: Store, members: DataFrame) -> DataFrame:
-    """(c, block, vs): the nodes of each group, in numbered blocks."""
-    sizes = members.groupBy(F.col("c").alias("g")).agg(F.ceil(F.count("*") / BLOCK).alias("n"))
-    placed = members.join(sizes, F.col("c") == F.col("g")).select("c", F.pmod(F.xxhash64("v"), F.col("n")).alias("block"), "v")
+    """(c, block, vs): the nodes of each group, in numbered blocks; large groups are numbered in parts of some thousand nodes."""
+    sizes = members.groupBy(F.col("c").alias("g")).agg(F.ceil(F.count("*") / (64 * BLOCK)).alias("n"))
+    placed = members.join(sizes, F.col("c") == F.col("g")).select("c", F.pmod(F.xxhash64("v"), F.col("n")).alias("part"), "n", "v")
+    place = F.row_number().over(Window.partitionBy("c", "part").orderBy("v")) - 1
+    placed = placed.select("c", (F.col("part") + F.col("n") * F.floor(place / BLOCK)).alias("block"), "v")
     return store.write(placed.groupBy("c", "block").agg(F.sort_array(F.collect_list("v")).alias("vs")), "blocks")[1]
 
 
 def _unfolded(lists: DataFrame) -> DataFrame:
     """The pairs (x, y) of each row's lists xs and ys.
 
-    Each node of xs comes with the same some hundred nodes of ys, a number divisible by eight: x stands in runs, and the
-    bytes of y's codes repeat, so both shrink to a few hundredths in Parquet.  Up to seven nodes of ys that are left come
-    with xs the other way round.
+    Each node of xs comes with all of ys: x stands in runs and the bytes of y's codes repeat, so both shrink to a few
+    hundredths in Parquet.  Where ys are too few for runs it's the other way round.
     """
 
     # nothing of this module is named inside, so executors needn't have it
@@ -287,18 +294,32 @@ def _unfolded(lists: DataFrame) -> DataFrame:
             lists = [(c.offsets.to_pylist(), c.values) for c in b.columns]
             for row in range(b.num_rows):
                 xs, ys = (v.slice(at[row], at[row + 1] - at[row]) for at, v in lists)
-                even = len(ys) // 8 * 8
-                for k in range(0, even, 512):
-                    for x, y in pairs(xs, ys.slice(k, min(512, even - k))):
-                        yield pa.RecordBatch.from_arrays([x, y], names=["x", "y"])
-                if even < len(ys):
-                    for y, x in pairs(ys.slice(even), xs):
-                        yield pa.RecordBatch.from_arrays([x, y], names=["x", "y"])
+                turned = len(ys) < 8 < len(xs)
+                for outer, inner in pairs(ys, xs) if turned else pairs(xs, ys):
+                    yield pa.RecordBatch.from_arrays([inner, outer] if turned else [outer, inner], names=["x", "y"])
 
     kind = lists.schema["xs"].dataType.elementType.simpleString()
     return lists.select("xs", "ys").mapInArrow(run, f"x {kind}, y {kind}")
 
 
+def _dealt(refs: DataFrame, total: float, tasks: int) -> tuple[DataFrame, int]:
+    """Pairs of blocks with the number of a task, and how many tasks there are, for ``total`` pairs of nodes and about ``tasks`` tasks.
+
+    A block of second nodes that fills an eighth of a task has one or more of its own; the others share some.
+    """
+    goal = total / tasks
+    blocks = refs.groupBy(F.col("y").alias("oy"), F.col("by").alias("oby")).agg(F.sum("n").alias("t"))
+    blocks = blocks.withColumn("parts", F.when(F.col("t") * 8 >= goal, F.ceil(F.col("t") / goal)))
+    parts, rest = blocks.agg(F.coalesce(F.sum("parts"), F.lit(0)), F.sum(F.when(F.col("parts").isNull(), F.col("t")))).head()
+    shared = math.ceil((rest or 0) / goal)
+    own = blocks.where("parts IS NOT NULL").withColumn("last", F.sum("parts").over(Window.orderBy("oy", "oby").rowsBetween(Window.unboundedPreceding, 0)))
+    found = refs.join(own, (F.col("y") == F.col("oy")) & F.col("by").eqNullSafe(F.col("oby")), "left")
+    # a group's blocks take turns
+    turn = F.pmod(F.hash("x").cast("long") + F.coalesce("bx", F.lit(0)), F.col("parts"))
+    task = F.coalesce(F.col("last") - 1 - turn, parts + F.pmod(F.hash("y", "by"), F.lit(max(1, shared))))
+    return found.select("x", "bx", "y", "by", task.cast("int").alias("task")), parts + shared
+
+
 def expanded(store: Store, pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     """The pairs of nodes behind the different pairs (x, y) of groups, whose nodes stand in blocks (c, block, vs)."""
     spark = pairs.sparkSession
@@ -312,14 +333,19 @@ def expanded(store: Store, pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     first, second = blocks.toDF("c1", "b1", "xs"), blocks.toDF("c2", "b2", "ys")
     out = plain
     for large, total in refs.groupBy("large").agg(F.sum("n")).collect():
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20000, int(total / TASK_PAIRS)))
-        lists = refs.where(F.col("large") == large).select("x", "bx", "y", "by")
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, int(total / TASK_PAIRS)))
+        lists, by = refs.where(F.col("large") == large).select("x", "bx", "y", "by", "n"), []
+        if large:
+            lists, tasks = _dealt(lists, total, tasks)
+            by = ["task"]
         if few:
             # the lists come to the pairs, dealt out evenly; a join's own exchange would have few partitions for so many rows
-            lists, first, second = lists.repartition(tasks), F.broadcast(first), F.broadcast(second)
+            lists = lists.repartitionById(tasks, *by) if by else lists.repartition(tasks)
+            first, second = F.broadcast(first), F.broadcast(second)
         lists = lists.join(first, (F.col("x") == F.col("c1")) & (F.col("bx") == F.col("b1")), "left")
         lists = lists.join(second, (F.col("y") == F.col("c2")) & (F.col("by") == F.col("b2")), "left")
-        lists = lists.select(F.coalesce("xs", F.array("x")).alias("xs"), F.coalesce("ys", F.array("y")).alias("ys"))
-        lists = lists if few else lists.repartition(tasks)
+        lists = lists.select(F.coalesce("xs", F.array("x")).alias("xs"), F.coalesce("ys", F.array("y")).alias("ys"), *by)
+        if not few:
+            lists = lists.repartitionById(tasks, *by) if by else lists.repartition(tasks)
         out = out.union(_unfolded(lists) if large else lists.select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y")))
     return out

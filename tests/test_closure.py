@@ -163,3 +163,28 @@ def test_pairs_are_dealt_to_tasks_by_their_number(spark, monkeypatch, limits):
         assert sum(parts) == 8100 and sum(k > 0 for k in parts) >= 8 and max(parts) < 2500
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_a_file_of_a_large_result_has_one_block_of_second_nodes(spark, tmp_path):
+    """So the codes of y fill a byte and repeat byte by byte; nodes that share no block and small groups are whole too."""
+    n = 2500
+    edges = [(3 * i, 3 * ((i + 1) % n)) for i in range(n)] + [(7, 0)] + [(10**6 + k, 10**6 + (k + 1 if k % 40 < 39 else k - 39)) for k in range(400)]
+    df = spark.createDataFrame(edges, "v0 long, v1 long")
+    types = {"e": ["number"] * 2, "q": ["number"] * 2}
+    q = Fixpoint(spark, parse_text("q(x, y) :- e(x, y). " + LEFT).rules, {"e": df}, types).run(["q"])["q"]
+    q.write.parquet(f"file://{tmp_path}/q")
+    tables = {f: pq.read_table(f) for f in (tmp_path / "q").glob("*.parquet")}
+    large = [f for f, t in tables.items() if t.num_rows > 100_000]
+    assert len(large) >= 10 and all(len(tables[f].column(1).unique()) <= 256 for f in large)
+    assert sum(t.num_rows for t in tables.values()) == n * n + n + 400 * 40
+    got = spark.read.parquet(f"file://{tmp_path}/q").toDF("x", "y").distinct().groupBy("x").count().groupBy("count").count().collect()
+    assert {tuple(r) for r in got} == {(n, n + 1), (40, 400)}
+    assert sum(f.stat().st_size for f in large) < 0.12 * sum(tables[f].num_rows for f in large)
+
+
+def test_blocks_of_searched_groups_are_full(spark, monkeypatch):
+    monkeypatch.setattr(closure, "BLOCK", 3)
+    members = spark.createDataFrame([(i, i % 2) for i in range(1000)], "v long, c long")
+    rows = closure.blocked(Fixpoint(spark, [], {}, {}).store, members).collect()
+    assert len({(r.c, r.block) for r in rows}) == len(rows) and max(len(r.vs) for r in rows) == 3 and sum(len(r.vs) < 3 for r in rows) <= 6
+    assert sorted((v, r.c) for r in rows for v in r.vs) == [(i, i % 2) for i in range(1000)]
